@@ -113,7 +113,8 @@ def edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     # rows of one id count as one where they follow: the least text, and the longest start that any of them takes
     after = settled(followers(rows.groupBy("i").agg(F.max(F.floor(F.length("t") / 4)).alias("n"))))
     wanted = after.select(F.col("next").alias("i"), F.col("i").alias("before"), "n")
-    starts = rows.join(wanted, "i").groupBy("before").agg(F.min(F.struct("t", "n")).alias("s")).select(F.col("before").alias("i"), F.substring(F.col("s.t"), F.lit(1), F.col("s.n").cast("int")).alias("start"))
+    starts = rows.join(wanted, "i").select(F.col("before").alias("i"), F.substring(F.col("t"), F.lit(1), F.col("n").cast("int")).alias("start"))
+    starts = starts.groupBy("i").agg(F.min("start").alias("start"))  # the start of the least text is the least start
     both = rows.join(starts, "i", "left").withColumn("m", F.floor(F.length("t") / 4).cast("int"))
     new = F.concat(F.substring(F.col("t"), F.lit(1), F.length("t") - F.col("m")), F.substring(F.coalesce("start", F.lit("")), F.lit(1), F.col("m")))
     both = both.select("i", "t", F.length("t").cast("long").alias("n_chars"), new.alias("e"))
