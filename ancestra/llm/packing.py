@@ -32,7 +32,11 @@ def shortest_pack_first(histogram: dict[int, int], width: int) -> list[tuple[tup
         while left:
             fill = min((f for f, packs in by_fill.items() if packs), default=width)
             if fill + length > width:
-                by_fill.setdefault(length, []).append(((length,), left))
+                # one after the other they would fill a new pack before the next is opened
+                each = width // length
+                for size, count in ((each, left // each), (left % each, 1)):
+                    if size and count:
+                        by_fill.setdefault(size * length, []).append(((length,) * size, count))
                 break
             pattern, count = by_fill[fill].pop()
             if not by_fill[fill]:
