@@ -31,7 +31,9 @@ BLOCK_BITS = U(511)
 #: Windows of a segment, at most.
 SEGMENT = 64
 #: Bytes that one transform takes.
-TRANSFORM_BYTES = 2 << 20
+TRANSFORM_BYTES = 1 << 19
+#: Symbols that the first sort of suffixes looks at; the search goes on from intervals of strings this long.
+SEED = 7
 #: An anchor in more chunks than this has its windows dealt out one by one.
 HOT_CHUNKS = 1024
 _A = [int(x) | 1 for x in (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03, 0x8CB92BA72F3D8DD7, 0xABC98388FB8FAC03, 0xF1357AEA2E62A9C5)]
@@ -50,35 +52,46 @@ def earliest(contents: list[bytes], docs: np.ndarray, length: int) -> list[np.nd
     which = np.repeat(np.arange(len(contents)), sizes + 1)
     left = ends[which] - np.arange(n)  # symbols up to the separator
 
-    # suffixes in order, each ending at its separator, ties by place: prefix doubling from 7 symbols on
-    padded = np.concatenate((text, np.zeros(7, np.uint16))).astype(np.int64)
+    # suffixes in order, each ending at its separator, ties by place: prefix doubling from SEED symbols on
+    padded = np.concatenate((text, np.zeros(SEED, np.uint16))).astype(np.int64)
     key = np.zeros(n, np.int64)
-    for j in range(7):
+    for j in range(SEED):
         key = (key << 9) | np.where(j < left, padded[j : j + n], 0)
-    depth, longest = 7, int(sizes.max())
-    while True:
-        suffixes = np.argsort(key)
-        ordered = key[suffixes]
-        new = np.concatenate(([True], ordered[1:] != ordered[:-1]))
-        rank = np.empty(n, np.int64)
-        rank[suffixes] = np.cumsum(new)
-        if depth >= longest or new.all():
+    suffixes = np.argsort(key)
+    ordered = key[suffixes]
+    first = np.concatenate(([True], ordered[1:] != ordered[:-1]))  # rows that differ from the one before
+    seeds = np.flatnonzero(first)
+    rank = np.empty(n, np.int64)
+    rank[suffixes] = np.repeat(seeds, np.diff(np.concatenate((seeds, [n]))))
+    depth, longest = SEED, int(sizes.max())
+    open_ = ~(first & np.concatenate((first[1:], [True])))  # rows that share their rank
+    while open_.any():
+        rows = np.flatnonzero(open_)
+        some = suffixes[rows]
+        if depth >= longest:  # equal to the end: by place
+            suffixes[rows] = some[np.argsort(rank[some] * n + some)]
             break
-        after = np.zeros(n, np.int64)
-        far = left > depth
-        after[far] = rank[np.flatnonzero(far) + depth]
-        key = rank * (n + 1) + after
+        after = np.where(left[some] > depth, rank[np.minimum(some + depth, n - 1)] + 1, 0)
+        key = rank[some] * (n + 1) + after
+        order = np.argsort(key)
+        some, key = some[order], key[order]
+        suffixes[rows] = some
+        new = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        first[rows[new]] = True
+        rank[some] = np.repeat(rows[new], np.diff(np.concatenate((new, [len(rows)]))))
+        open_[rows] = ~(first[rows] & np.concatenate((first, [True]))[rows + 1])
         depth *= 2
-    if not new.all():
-        suffixes = np.argsort(rank * n + np.arange(n))
 
     bwt = text[suffixes - 1]
     step = np.empty(n, np.int64)  # from a row to the row of the suffix one symbol longer
     step[np.argsort(bwt, kind="stable")] = np.arange(n)
     settled = np.zeros(n + 1, bool)  # before row i, a common prefix under `length` is known
-    settled[[0, n]] = True
-    low, high = np.array([0]), np.array([n])
-    for _ in range(length):
+    settled[n] = True
+    settled[seeds] = True  # the first sort has settled the strings of SEED symbols
+    low, high = seeds, np.concatenate((seeds[1:], [n]))
+    whole = left[suffixes[low]] >= SEED
+    low, high = low[whole], high[whole]
+    for _ in range(length - SEED):
         wide = high - low
         rows = np.repeat(low - np.concatenate(([0], np.cumsum(wide)[:-1])), wide) + np.arange(wide.sum())
         owner = np.repeat(np.arange(len(low)), wide)
@@ -113,17 +126,18 @@ def earliest(contents: list[bytes], docs: np.ndarray, length: int) -> list[np.nd
     return [found[s : s + max(0, m - length + 1)] for s, m in zip(starts.tolist(), sizes.tolist())]
 
 
-def _hashes(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of 16 and of ANCHOR bytes from each place on; what runs over the end is left out."""
+def _hashes(buf: np.ndarray, anchors: bool) -> np.ndarray:
+    """Of 16 (or ANCHOR) bytes from each place on; what runs over the end is left out."""
     h = C._TABLE[buf]
-    saved = {1: h}
+    saved = {}
     for width, a in zip((2, 4, 8, 16), _A):
-        half = width // 2
-        h = h[:-half] * U(a) + h[half:]
+        h = h[: -(width // 2)] * U(a) + h[width // 2 :]
         saved[width] = h
+    if not anchors:
+        return h
     n = max(0, len(buf) - ANCHOR + 1)
-    both = saved[16][:n] * U(_A[4]) + saved[8][16 : 16 + n]
-    return saved[16], C.mix(both * U(_A[0]) + saved[2][24 : 24 + n])
+    both = h[:n] * U(_A[4]) + saved[8][16 : 16 + n]
+    return C.mix(both * U(_A[0]) + saved[2][24 : 24 + n])
 
 
 def _least(h: np.ndarray, width: int) -> np.ndarray:
@@ -146,8 +160,7 @@ class _Pieces:
             data = b"".join(chunk.texts[a:b])
             if len(data) < length:
                 continue
-            wide, _ = _hashes(np.frombuffer(data, np.uint8))
-            cut = np.flatnonzero((C.mix(wide) & BLOCK_BITS) == 0)
+            cut = np.flatnonzero((C.mix(_hashes(np.frombuffer(data, np.uint8), False)) & BLOCK_BITS) == 0)
             at = 0
             for d in range(a, b):
                 t = chunk.texts[d]
@@ -190,8 +203,7 @@ class _Pieces:
                 parts.append(self.chunk.texts[d][s : e + self.length - 1])
                 size += len(parts[-1])
                 j += 1
-            _, h = _hashes(np.frombuffer(b"".join(parts), np.uint8))
-            least = _least(h, width)
+            least = _least(_hashes(np.frombuffer(b"".join(parts), np.uint8), True), width)
             lens = np.array([len(p) for p in parts])
             begin = np.cumsum(lens) - lens
             count = lens - self.length + 1
@@ -212,11 +224,10 @@ class _Pieces:
         """Distinct anchors: keys, whether in several documents here, and the place of each segment among them."""
         doc, _, _, anchor = segments
         keys, place = np.unique(anchor, return_inverse=True)
-        pair = np.unique(place * len(self.chunk.ids) + doc)  # anchor and document
         docs = np.zeros(len(keys), np.int64)
         # several rows with one id are one document here
         first = np.searchsorted(self.chunk.ids, self.chunk.ids)
-        pair = np.unique(place * len(self.chunk.ids) + first[doc])
+        pair = np.unique(place * len(self.chunk.ids) + first[doc])  # anchor and document
         np.add.at(docs, pair // max(1, len(self.chunk.ids)), 1)
         return keys, [(docs > 1).astype(np.uint8)], place
 
