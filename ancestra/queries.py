@@ -418,7 +418,6 @@ def bootstrap_share(spark, d):
 
 # ---- names, cleaning, inference ----
 
-_RE_QUANT = names.QUANT_SUFFIX
 _NAMED = "n AS (SELECT p_partkey AS k, 'acct' || (p_partkey % 60) || '/' || replace(p_name, ' ', '-') || CASE WHEN p_partkey % 6 = 0 THEN '-' || ['GGUF','test','4bit','q4_k_m'][(p_partkey // 6 % 4) + 1] ELSE '' END AS model_id, 'acct' || (p_partkey % 60) AS author, make_timestamp(2024, 1, 1 + (p_partkey % 28), 0, 0, 0) AS created_at, CASE WHEN p_size % 5 = 0 THEN NULL ELSE p_type END AS pipeline_tag, CASE WHEN p_size % 4 = 0 THEN NULL ELSE p_brand END AS library_name, CASE WHEN p_size % 2 = 0 THEN NULL ELSE 'mit' END AS license, p_size % 7 AS downloads_all FROM part)"
 _NE = f"WITH {_NAMED}, e AS (SELECT DISTINCT a.model_id AS parent_id, b.model_id AS child_id FROM n a JOIN n b ON a.k = b.k // 40 WHERE a.model_id <> b.model_id AND b.k % 3 = 0)"
 
@@ -449,11 +448,13 @@ def infer_mirror(spark, d):
     return inference.mirrors(ingest.keep_first(n, ["model_id"], "k"), e, popular=5)
 
 
-@query(_NE + r", u AS (SELECT DISTINCT ON (model_id) * FROM n ORDER BY model_id, k), x AS (SELECT *, lower(split_part(model_id, '/', 2)) AS nm, author || '/' || 1 AS z FROM u WHERE k % 50 = 0 OR k % 6 = 0), b AS (SELECT nm, any_value(model_id) AS parent_id, any_value(created_at) AS at FROM x GROUP BY 1 HAVING count(*) = 1) SELECT b.parent_id, x.model_id AS child_id FROM x JOIN b ON b.nm = regexp_replace(x.nm, '" + _RE_QUANT + "', '') WHERE regexp_matches(x.nm, '" + _RE_QUANT + "') AND x.model_id NOT IN (SELECT child_id FROM e) AND x.model_id <> b.parent_id AND x.created_at >= b.at")
+@query("WITH n AS (SELECT 'a' || (p_partkey % 9) || '/M' || (p_partkey // 2) || CASE WHEN p_partkey % 2 = 1 THEN '-Q4_K_M' ELSE '' END AS id, p_partkey // 2 AS m, p_partkey % 2 AS q, (p_partkey * 3) % 28 AS tm FROM part), b AS (SELECT m, any_value(id) AS parent_id, any_value(tm) AS tm FROM n WHERE q = 0 GROUP BY 1 HAVING count(*) = 1) SELECT parent_id, id AS child_id FROM n JOIN b USING (m) WHERE q = 1 AND n.tm >= b.tm")
 def infer_quant(spark, d):
-    n, e = _named(spark, d)
-    n = ingest.keep_first(n, ["model_id"], "k").where("k % 50 = 0 or k % 6 = 0")
-    return inference.quantised(n, e, e.limit(0))
+    k = F.col("p_partkey")
+    name = F.concat(F.lit("a"), k % 9, F.lit("/M"), F.expr("p_partkey div 2"), F.when(k % 2 == 1, "-Q4_K_M").otherwise(""))
+    n = fixtures.table(spark, d, "part").select(name.alias("model_id"), F.concat(F.lit("a"), k % 9).alias("author"), ((k * 3) % 28).alias("created_at"))
+    none = spark.createDataFrame([], "parent_id string, child_id string")
+    return inference.quantised(n, none, none)
 
 
 @query("WITH r AS (SELECT p_partkey AS k, 'o' || (p_partkey % 9) AS o, replace(p_name, ' ', '-') AS nm FROM part), known AS (SELECT DISTINCT o || '/' || nm AS id FROM r WHERE k % 2 = 0), x AS (SELECT DISTINCT 'RichardErkhov/' || o || '_-_' || nm || '-gguf' AS child_id, o || '/' || nm AS p FROM r) SELECT p AS parent_id, child_id FROM x JOIN known ON id = p")
