@@ -96,9 +96,8 @@ def followers(ids: DataFrame) -> DataFrame:
     """
     part = settled(ids.repartitionByRange(int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions")), "i").withColumn("p", F.spark_partition_id()))
     firsts = part.groupBy("p").agg(F.min("i").alias("first"))  # a row a partition
-    order = W.orderBy("p")
-    whole = firsts.agg(F.min("first").alias("least"))
-    firsts = firsts.select("p", F.lead("first").over(order).alias("after")).crossJoin(whole).select("p", F.coalesce("after", "least").alias("after"))
+    least = firsts.agg(F.min("first")).scalar()
+    firsts = firsts.select("p", F.lead("first").over(W.orderBy("p")).alias("after")).select("p", F.coalesce("after", least).alias("after"))
     inside = F.lead("i").over(W.partitionBy("p").orderBy("i"))
     return part.withColumn("inside", inside).join(F.broadcast(firsts), "p").select("i", "n", F.coalesce("inside", "after").alias("next"))
 
