@@ -75,10 +75,10 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: float = REACH, least_rows: int = LEAST_ROWS) -> DataFrame:
-    """A row per document: doc_id, the base statistics, base_failed, kept, failed (names of the rules it fails)."""
+def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: float = REACH, least_rows: int = LEAST_ROWS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """A row per document: doc_id, the base statistics, base_failed, kept, failed (names of the rules it fails), columns to keep."""
     one = lambda c: F.greatest(F.col(c), F.lit(1))
-    rows = statistics(docs, id_col, text_col).withColumns(
+    rows = statistics(docs, id_col, text_col, ("lang", "source", *keep)).withColumns(
         {
             "base_failed": (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")),
             "symbols_per_word": F.col("n_symbols") / one("n_words"),
@@ -91,11 +91,11 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reac
     group = rows.where("not base_failed").groupBy("lang", "source").agg(F.count("*").alias("n"), *(F.kll_sketch_agg_double(s, SKETCH_K).alias(s) for s in names))
     merged = lambda *keys: group.groupBy(*keys).agg(F.sum("n").alias("n"), *(F.kll_merge_agg_double(s, SKETCH_K).alias(s) for s in names))
     wide = merged("lang").select(F.col("lang").alias("l"), F.col("n").alias("ln"), *(F.col(s).alias(f"l_{s}") for s in names))
-    whole = merged().select(*(F.col(s).alias(f"a_{s}") for s in names))
-    chosen = group.join(wide, group["lang"].eqNullSafe(wide["l"])).crossJoin(F.broadcast(whole))  # whole is a single row
+    whole = merged().select(F.struct(*names)).scalar()
+    chosen = group.join(wide, group["lang"].eqNullSafe(wide["l"])).withColumn("a", whole)
     limits = []
     for s, spread, both in STATISTICS:
-        sketch = F.when(F.col("n") >= least_rows, F.col(s)).when(F.col("ln") >= least_rows, F.col(f"l_{s}")).otherwise(F.col(f"a_{s}"))
+        sketch = F.when(F.col("n") >= least_rows, F.col(s)).when(F.col("ln") >= least_rows, F.col(f"l_{s}")).otherwise(F.col("a")[s])
         low, mid, high = (F.kll_sketch_get_quantile_double(sketch, F.lit(q)) for q in (0.25, 0.5, 0.75))
         limits.append((mid + reach * F.greatest(high - mid, F.lit(spread))).alias(f"{s}_high"))
         if both:
@@ -108,4 +108,4 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reac
         if both:
             fails.append(F.when(F.col(s) < F.col(f"{s}_low"), F.lit(f"{s}_low")))
     rows = rows.withColumn("failed", F.array_compact(F.array(F.when(F.col("base_failed"), F.lit("base")), *fails)))
-    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (F.size("failed") == 0).alias("kept"), "failed")
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (F.size("failed") == 0).alias("kept"), "failed", *keep)
