@@ -29,7 +29,7 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix.removals(_documents(spark, sf_dir)).drop("kept")
+    return suffix.removals(_documents(spark, sf_dir)).drop("text_sha256", "kept")
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -253,7 +253,7 @@ class _Pieces:
 
 
 def removals(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", hot_chunks: int = HOT_CHUNKS) -> DataFrame:
-    """A row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes)."""
+    """A row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, text_sha256, kept (the remaining bytes)."""
     if length <= ANCHOR:
         raise ValueError(f"length must be over {ANCHOR}")
     source = C.Corpus.of(docs, id_col, text_col)
@@ -332,7 +332,7 @@ def removals(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col
             for s, e, doc in zip(starts, starts[1:], np.frombuffer(found[at][runs:], np.int64).tolist()):
                 if doc < chunk.ids[d]:
                     marks.setdefault(d, []).append((a + s, a + e))
-        out = {k: [] for k in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")}
+        out = {k: [] for k in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text_sha256", "kept")}
         for d, t in enumerate(chunk.texts):
             kept, spans = [], []
             for s, e in sorted(marks.get(d, ())):
@@ -346,11 +346,11 @@ def removals(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col
                 at = e
             rest = b"".join([*kept, t[at:]])
             i = int(chunk.ids[d])
-            for k, v in zip(out, (None if i == C.NULL_ID else i, len(t), len(t) - len(rest), len(spans), hashlib.sha256(rest).hexdigest(), rest)):
+            for k, v in zip(out, (None if i == C.NULL_ID else i, len(t), len(t) - len(rest), len(spans), hashlib.sha256(rest).hexdigest(), hashlib.sha256(t).hexdigest(), rest)):
                 out[k].append(v)
-        return pa.table({k: pa.array(v, {"kept_sha256": pa.string(), "kept": pa.binary()}.get(k, pa.int64())) for k, v in out.items()})
+        return pa.table({k: pa.array(v, {"kept_sha256": pa.string(), "text_sha256": pa.string(), "kept": pa.binary()}.get(k, pa.int64())) for k, v in out.items()})
 
     prior = source.exchange("blocks", emit_blocks, answer_blocks)
     prior = source.exchange("anchors", emit_anchors, answer_anchors, prior)
     prior = source.exchange("contents", emit_contents, answer_contents, prior)
-    return source.each(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary", prior)
+    return source.each(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text_sha256 string, kept binary", prior)

@@ -1,15 +1,24 @@
-"""Documents to packed sequences: STAGES in order, each reading what the one before has written."""
+"""Documents to packed sequences: STAGES in order, each reading what the one before has written.
+
+Rows may have null ids, and ids may repeat: a verdict goes back to the rows whose id and text it was made for. Of
+rows that repeat both the id and the text, the near-duplicate stage leaves one.
+"""
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ancestra.llm import classifier, corpus, jaccard, packing, rules, suffix
 
 
+def _id() -> Column:
+    """The id, as a key that joins where it is null too."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(corpus.NULL_ID)).alias("__i")
+
+
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is 0.5 or more."""
     model = classifier.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -19,20 +28,21 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep."""
-    kept = rules.judged(docs).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    judged_by = F.xxhash64("text", "lang", "source")
+    kept = rules.judged(docs.withColumn("__h", judged_by), keep=("__h",)).where("kept").select(_id(), "__h")
+    return docs.withColumns({"__i": _id(), "__h": judged_by}).join(kept, ["__i", "__h"], "left_semi").select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The least document of each class of n-gram Jaccard links."""
-    kept = jaccard.classes(docs).where("class_id = doc_id").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    kept = jaccard.classes(docs).where("class_id <=> doc_id").select(_id())
+    return docs.withColumn("__i", _id()).join(kept, "__i", "left_semi").dropDuplicates(["__i", "text"]).select(docs.columns)
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the bytes that earlier documents have; bytes left of a character that was cut go too."""
-    kept = suffix.removals(docs).where("n_removed > 0").select("doc_id", F.col("kept").alias("__kept"))
-    rows = docs.join(kept, "doc_id", "left")
+    kept = suffix.removals(docs).where("n_removed > 0").select(_id(), F.col("text_sha256").alias("__h"), F.col("kept").alias("__kept")).dropDuplicates(["__i", "__h"])
+    rows = docs.withColumns({"__i": _id(), "__h": F.sha2(F.encode("text", "utf-8"), 256)}).join(kept, ["__i", "__h"], "left")
     # a bad byte sequence reads as U+FFFD, which is then left out of texts that were cut
     text = F.when(F.col("__kept").isNull(), F.col("text")).otherwise(F.translate(F.make_valid_utf8(F.col("__kept").cast("string")), "�", ""))
     rows = rows.withColumn("text", text).withColumn("n_chars", F.when(F.col("__kept").isNull(), F.col("n_chars")).otherwise(F.length("text")))

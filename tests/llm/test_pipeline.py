@@ -1,7 +1,7 @@
 """The pipeline against plain versions of its stages."""
 
 import corpus_pipeline as p
-from tests.llm.test_operators import _repeats, _sets
+from tests.llm.test_operators import _repeats, _sets, docs, none  # noqa: F401
 
 
 def test_stages_on_small_tables(spark, tmp_path):
@@ -27,3 +27,17 @@ def test_stages_on_small_tables(spark, tmp_path):
             assert all(len(after[i].encode()) <= removed[i][1] - removed[i][2] for i, _ in before)
     rows = p.STAGES[-1][1](spark, docs, sf).collect()
     assert {r.doc_id for r in rows} == set(after)
+
+
+def test_stages_keep_null_ids_and_single_rows_of_repeated_ones(spark, docs, none):
+    sf = "/root/testdata/sf0.001"
+    n = docs.count()
+    ruled = p.quality_rules(spark, docs, sf).collect()
+    assert sum(r.doc_id is None for r in ruled) == 1 and {12, 13, 16}.isdisjoint(r.doc_id for r in ruled)
+    near = p.near_duplicates(spark, docs, sf).collect()
+    assert sorted((r.doc_id for r in near if r.doc_id is not None)) == [-4, 3, 9, 10, 11, 12, 13, 14, 16, 17, 18, 20, 22] and len(near) == 14
+    cut = p.repeated_strings(spark, docs, sf)
+    assert cut.columns == docs.columns and cut.count() == n
+    assert sum(r.doc_id == 20 and r.text == "x" for r in cut.collect()) == 2
+    for stage in (p.quality_rules, p.near_duplicates, p.repeated_strings):
+        assert stage(spark, none, sf).collect() == []
