@@ -6,7 +6,9 @@ merged sketches of its language, a language of under `least_rows` those of all.
 
     median + reach * max(upper quartile - median, spread)
 
-of the group it is measured by (mean word length also below the mirrored bound). Sketches are partly built where
+of the group it is measured by (mean word length also below the mirrored bound). With `learnt`, spreads
+reach to a tail quantile (LEARNT) of the group, or of its language where the group's quartile is its median, and
+their least is LEARNT's: a statistic that is 0 for nearly all of a language has a threshold near 0. Sketches are partly built where
 the rows are, so a source that holds a third of them is no hot spot; thresholds are joined back by group.
 
 Null texts count as empty (base_failed, as n_words < 10); null languages and sources are groups of their own.
@@ -22,6 +24,8 @@ from ancestra.llm.corpus import settled
 
 #: Statistic, least spread that counts, whether low values fail too.
 STATISTICS = (("symbols_per_word", 0.1, False), ("mean_word_chars", 0.75, True), ("dup_line_share", 0.1, False))
+#: Tail quantile (mirrored below the median) and least spread of learnt thresholds, chosen by the labels of sf0.1.
+LEARNT = {"symbols_per_word": (0.9, 0.01), "mean_word_chars": (0.9, 0.05), "dup_line_share": (0.98, 0.01)}
 REACH = 5.0
 LEAST_ROWS = 30
 #: Size parameter of the sketches: exact up to so many rows, rank error about 2 / k beyond.
@@ -75,7 +79,7 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: float = REACH, least_rows: int = LEAST_ROWS, keep: tuple[str, ...] = ()) -> DataFrame:
+def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: float = REACH, least_rows: int = LEAST_ROWS, keep: tuple[str, ...] = (), learnt: bool = False) -> DataFrame:
     """A row per document: doc_id, the base statistics, base_failed, kept, failed (names of the rules it fails), columns to keep."""
     one = lambda c: F.greatest(F.col(c), F.lit(1))
     rows = statistics(docs, id_col, text_col, ("lang", "source", *keep)).withColumns(
@@ -97,9 +101,15 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reac
     for s, spread, both in STATISTICS:
         sketch = F.when(F.col("n") >= least_rows, F.col(s)).when(F.col("ln") >= least_rows, F.col(f"l_{s}")).otherwise(F.col("a")[s])
         low, mid, high = (F.kll_sketch_get_quantile_double(sketch, F.lit(q)) for q in (0.25, 0.5, 0.75))
-        limits.append((mid + reach * F.greatest(high - mid, F.lit(spread))).alias(f"{s}_high"))
+        above, below = high - mid, mid - low
+        if learnt:
+            tail, spread = LEARNT[s]
+            wider = F.when(F.col("ln") >= least_rows, F.col(f"l_{s}")).otherwise(F.col("a")[s])
+            far = lambda k, q: F.abs(F.kll_sketch_get_quantile_double(k, F.lit(q)) - F.kll_sketch_get_quantile_double(k, F.lit(0.5)))
+            above, below = (F.when(x > 0, far(sketch, q)).otherwise(far(wider, q)) for x, q in ((above, tail), (below, 1 - tail)))
+        limits.append((mid + reach * F.greatest(above, F.lit(spread))).alias(f"{s}_high"))
         if both:
-            limits.append((mid - reach * F.greatest(mid - low, F.lit(spread))).alias(f"{s}_low"))
+            limits.append((mid - reach * F.greatest(below, F.lit(spread))).alias(f"{s}_low"))
     limits = chosen.select(F.col("lang").alias("g_lang"), F.col("source").alias("g_source"), *limits)
     rows = rows.join(limits, rows["lang"].eqNullSafe(limits["g_lang"]) & rows["source"].eqNullSafe(limits["g_source"]), "left")
     fails = []

@@ -27,9 +27,9 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules keep."""
+    """Documents that the rules keep, by learnt thresholds."""
     judged_by = F.xxhash64("text", "lang", "source")
-    kept = rules.judged(docs.withColumn("__h", judged_by), keep=("__h",)).where("kept").select(_id(), "__h")
+    kept = rules.judged(docs.withColumn("__h", judged_by), keep=("__h",), learnt=True).where("kept").select(_id(), "__h")
     return docs.withColumns({"__i": _id(), "__h": judged_by}).join(kept, ["__i", "__h"], "left_semi").select(docs.columns)
 
 

@@ -41,3 +41,10 @@ def test_stages_keep_null_ids_and_single_rows_of_repeated_ones(spark, docs, none
     assert sum(r.doc_id == 20 and r.text == "x" for r in cut.collect()) == 2
     for stage in (p.quality_rules, p.near_duplicates, p.repeated_strings):
         assert stage(spark, none, sf).collect() == []
+
+
+def test_rules_learn_that_symbols_are_rare(spark):
+    clean = [(k, " ".join(f"wort{k * j % 89}{chr(97 + j % 7)}" for j in range(40 + k)), "en", f"s{k % 2}", 1) for k in range(1, 81)]
+    piped = [(100 + k, " | ".join(f"a{k * j % 83}bcd" for j in range(1, 25)), "en", f"s{k % 2}", 1) for k in range(4)]
+    docs = spark.createDataFrame(clean + piped, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in p.quality_rules(spark, docs, "").collect()) == list(range(1, 81))
