@@ -210,5 +210,6 @@ def train(shape: Shape, flat: np.ndarray, symbols: np.ndarray, starts: np.ndarra
             round_ += 1
             m += 0.1 * (gradient - m)
             v += 0.005 * (gradient * gradient - v)
-            flat -= rate * (m / (1 - 0.9**round_)) / (np.sqrt(v / (1 - 0.995**round_)) + 1e-7)
+            # windows in which few lanes still have text count for as little
+            flat -= rate * len(real) / (size * n) * (m / (1 - 0.9**round_)) / (np.sqrt(v / (1 - 0.995**round_)) + 1e-7)
     return flat

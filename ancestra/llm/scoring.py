@@ -4,8 +4,7 @@ Token counts are gathered from all training documents. The most frequent tokens
 classes of about equal share; a token outside it belongs to an open class by its last two bytes, in which its
 probability is its smoothed share of the class's training tokens. The recurrent model (gru.py) starts on a bounded
 sample (`sample` training tokens at most, of up to 64 chunks); then every chunk goes on from there with truncated
-backpropagation over a fixed share of its own training documents (one in `share`, by hash of the id), and the
-chunks' parameters are averaged, weighted by tokens. So both the counts and the training grow with the input.
+backpropagation over all of its training documents, and the chunks' parameters are averaged, weighted by tokens. So both the counts and the training grow with the input.
 
 A-Z are lower-cased; tokens are the words [^\\x20\\x09-\\x0D]+ and one end per document. Null and empty texts have
 the end alone. Rows with a null id are never held out. Rows that repeat an
@@ -65,6 +64,10 @@ class _Tokens:
         keep = np.repeat(which, self.n)
         return symbols[keep], np.concatenate(([0], np.cumsum(self.n[which])))
 
+    def training(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols of all training documents, and their starts."""
+        return self.texts(~self.held, symbols)
+
 
 class _Vocabulary:
     def __init__(self, keys: np.ndarray, counts: np.ndarray, bounds: tuple[int, ...]):
@@ -85,7 +88,17 @@ def _classes(counts: np.ndarray, n: int) -> tuple[int, ...]:
     return tuple(sorted({0, *(at + 1).tolist(), len(counts)} - {len(counts) + 1}))
 
 
-def scores(docs: DataFrame, folds: int = 5, share: int = 8, vocabulary: int = VOCABULARY, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _fitting(order: np.ndarray, n: np.ndarray, room: int) -> list[int]:
+    """Documents, in order, that fit into so many tokens; one too long is skipped."""
+    out = []
+    for d in order.tolist():
+        if n[d] <= room:
+            out.append(d)
+            room -= int(n[d])
+    return out
+
+
+def scores(docs: DataFrame, folds: int = 5, vocabulary: int = VOCABULARY, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10)."""
     source = C.Corpus.of(docs, id_col, text_col)
     n = source.n
@@ -134,9 +147,8 @@ def scores(docs: DataFrame, folds: int = 5, share: int = 8, vocabulary: int = VO
         symbols = words.symbols(t.h, t.open)
         order = np.argsort(t.picked, kind="stable")
         order = order[~t.held[order]]
-        order = order[np.cumsum(t.n[order]) <= sample // some]
         which = np.zeros(len(chunk.ids), bool)
-        which[order] = True
+        which[_fitting(order, t.n, sample // some)] = True
         s, starts = t.texts(which, symbols)
         return pa.table({"blob": pa.array([C.to_blob(s, starts)], pa.binary())})
 
@@ -150,7 +162,7 @@ def scores(docs: DataFrame, folds: int = 5, share: int = 8, vocabulary: int = VO
 
     def go_on(number, chunk, _):
         t = _Tokens(chunk, folds)
-        s, starts = t.texts(~t.held & (t.picked % U(share) == 0), words.symbols(t.h, t.open))
+        s, starts = t.training(words.symbols(t.h, t.open))
         if not len(s):
             return pa.table({"slice": pa.array([], pa.int32()), "part": pa.array([], pa.int32()), "weight": pa.array([], pa.int64()), "blob": pa.array([], pa.binary())})
         moved = gru.train(shape, seed, s, starts, LATER_RATE)

@@ -6,6 +6,7 @@ import hashlib
 import json
 import math
 import re
+import types
 import zlib
 from collections import Counter
 
@@ -134,6 +135,17 @@ def test_scores_follow_their_formula(docs):
     assert all(math.isfinite(r.score) and r.score < 0 for r in rows)
 
 
+def test_every_training_document_is_learnt_from():
+    # a document that is too long for the start is skipped, not the end of it
+    assert scoring._fitting(np.array([2, 0, 1]), np.array([3, 4, 50]), 8) == [0, 1]
+    texts = [(f"alpha beta {i}" * (1 + i % 3)).encode() for i in range(40)]
+    chunk = types.SimpleNamespace(ids=np.arange(40), texts=texts, steps=lambda: [(0, 25), (25, 40)])
+    t = scoring._Tokens(chunk, 5)
+    s, starts = t.training(np.arange(len(t.h)))
+    want = [i for i in range(40) if zlib.crc32(str(i).encode()) % 5 != 1]
+    assert len(starts) == len(want) + 1 and s.tolist() == [k for i in want for k in range(t.starts[i], t.starts[i + 1])]
+
+
 def test_model_gradients_and_whole_probability():
     from ancestra.llm import gru
 
