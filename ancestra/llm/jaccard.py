@@ -13,7 +13,8 @@
    are joined to classes.
 
 Words are [^\\x20\\x09-\\x0D]+; a text of 1 to n - 1 words has one n-gram, all its words; one without words (or
-null) has none, and links with nothing. n-grams are compared by 64-bit hashes. Null ids count as the least id
+null) has none, and links with nothing. n-grams are compared by 64-bit hashes, and texts are known by one of their
+set; a class is known by its least (id, hash). Null ids count as the least id
 and come back null; rows that repeat an id are documents of their own. Other columns are ignored.
 """
 
@@ -127,15 +128,15 @@ def compare(sigs: np.ndarray, sets: list[np.ndarray], side: np.ndarray | None, t
 
 
 class _Sets:
-    """Texts of a chunk that may have links: representative document, documents, signature, n-grams."""
+    """Texts of a chunk that may have links: hash of the set, representative document, documents, signature, n-grams."""
 
-    def __init__(self, ids, copies, sigs, sets):
-        self.ids, self.copies, self.sigs, self.sets = ids, copies, sigs, sets
+    def __init__(self, ids, docs, copies, sigs, sets):
+        self.ids, self.docs, self.copies, self.sigs, self.sets = ids, docs, copies, sigs, sets
 
     @staticmethod
     def of(table: pa.Table) -> _Sets:
-        ids, copies, sizes, sigs, grams = (np.concatenate(x) for x in zip(*(C.from_blob(b.as_py()) for b in table.column("blob"))))
-        return _Sets(ids, copies, sigs.reshape(-1, len(_SEEDS)), np.split(grams, np.cumsum(sizes)[:-1]))
+        ids, docs, copies, sizes, sigs, grams = (np.concatenate(x) for x in zip(*(C.from_blob(b.as_py()) for b in table.column("blob"))))
+        return _Sets(ids, docs, copies, sigs.reshape(-1, len(_SEEDS)), np.split(grams, np.cumsum(sizes)[:-1]))
 
     def rare_first(self, answers: dict, n: int, threshold: float) -> list[np.ndarray]:
         """The prefix of each text, without n-grams that no other text has; empty if it has no link."""
@@ -173,8 +174,13 @@ def _forest(i: np.ndarray, j: np.ndarray, n: int) -> list[tuple[int, int]]:
     return out
 
 
+def _names(docs: np.ndarray, ids: np.ndarray) -> list[bytes]:
+    """Names of texts that sort by document, then by hash of the set."""
+    return [d.to_bytes(8, "big") + i.to_bytes(8, "big") for d, i in zip((docs.view(U) ^ U(1 << 63)).tolist(), ids.view(U).tolist())]
+
+
 def classes(docs: DataFrame, n_words: int = 5, threshold: float = 0.8, tolerance: float = 1e-9, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
-    """A row per document: doc_id, class_id (least document of its class), n_links (documents linked to it), representative."""
+    """A row per document: doc_id, class_id (least document of its class), n_links (documents linked to it), representative, stands (whether it is the text that stands for its class), text_sha256."""
     source = C.Corpus.of(docs, id_col, text_col)
     spark, n = docs.sparkSession, source.n
 
@@ -205,17 +211,17 @@ def classes(docs: DataFrame, n_words: int = 5, threshold: float = 0.8, tolerance
         owner, total = np.empty_like(ids), np.empty_like(copies)
         owner[order] = np.minimum.reduceat(ids[order], begin)[group]
         total[order] = np.add.reduceat(copies[order], begin)[group]
-        return [owner, total, first, ids]
+        return [owner, total, first, ids, keys.view(np.int64)]
 
     def representatives(answers):
-        """Places of the documents that stand for a text, ascending, and how many documents have it."""
+        """Places of the documents that stand for a text, ascending, how many documents have it, and its hash."""
         got = C.collected(answers, "sets")
         if not got:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        owner, total, first, ids = got
+            return (np.zeros(0, np.int64),) * 3
+        owner, total, first, ids, key = got
         mine = owner == ids
         order = np.argsort(first[mine])
-        return first[mine][order], total[mine][order]
+        return first[mine][order], total[mine][order], key[mine][order]
 
     def each_signature(chunk, places):
         """(places, sets, signatures) of the documents at places, in steps."""
@@ -245,13 +251,14 @@ def classes(docs: DataFrame, n_words: int = 5, threshold: float = 0.8, tolerance
         return count[place] > 1, columns
 
     def keep_sets(number, chunk, answers):
-        places, copies = representatives(answers)
+        places, copies, hashes = representatives(answers)
         got = C.collected(answers, "bands")
         left = np.isin(places, got[0].astype(np.int64)) if got else np.zeros(len(places), bool)
         rows = []
-        total = dict(zip(places.tolist(), copies.tolist()))
+        total = dict(zip(places.tolist(), zip(hashes.tolist(), copies.tolist())))
         for part, sets, sigs in each_signature(chunk, places[left]):
-            rows.append(C.to_blob(chunk.ids[part], np.array([total[p] for p in part.tolist()], np.int64), np.array([len(s) for s in sets], np.int64), sigs.ravel(), np.concatenate(sets)))
+            ids, count = np.array([total[p] for p in part.tolist()], np.int64).T.copy()
+            rows.append(C.to_blob(ids, chunk.ids[part], count, np.array([len(s) for s in sets], np.int64), sigs.ravel(), np.concatenate(sets)))
         return pa.table({"chunk": pa.array([number] * len(rows), pa.int32()), "blob": pa.array(rows, pa.binary())})
 
     sets_back = source.exchange("sets", emit_sets, answer_sets)
@@ -311,7 +318,7 @@ def classes(docs: DataFrame, n_words: int = 5, threshold: float = 0.8, tolerance
         rows = []
         for (f, p, q), found in groups.items():
             i = [x for x, _ in found]
-            blob = C.to_blob(sets.ids[i], np.array([b for _, b in found], np.int32), sets.copies[i], np.array([len(sets.sets[x]) for x in i], np.int64), sets.sigs[i].ravel(), np.concatenate([sets.sets[x] for x in i]))
+            blob = C.to_blob(sets.ids[i], sets.docs[i], np.array([b for _, b in found], np.int32), sets.copies[i], np.array([len(sets.sets[x]) for x in i], np.int64), sets.sigs[i].ravel(), np.concatenate([sets.sets[x] for x in i]))
             rows.append((int(C.mix(np.array([hash((f, p, q)) & ((1 << 64) - 1)], U))[0] % U(4 * n)), f, p, q, blob))
         task, f, p, q, blob = zip(*rows)
         return pa.table({"task": pa.array(task, pa.int32()), "family": pa.array(f, pa.int64()), "p": pa.array(p, pa.int32()), "q": pa.array(q, pa.int32()), "blob": pa.array(blob, pa.binary())})
@@ -323,34 +330,41 @@ def classes(docs: DataFrame, n_words: int = 5, threshold: float = 0.8, tolerance
             groups.setdefault(key, []).append(i)
         blobs = t.column("blob")
         for (_, p, q), rows in groups.items():
-            ids, own, copies, sizes, sigs, grams = (np.concatenate(x) for x in zip(*(C.from_blob(blobs[i].as_py()) for i in rows)))
+            ids, owners, own, copies, sizes, sigs, grams = (np.concatenate(x) for x in zip(*(C.from_blob(blobs[i].as_py()) for i in rows)))
             sets = np.split(grams, np.cumsum(sizes)[:-1])
             i, j = compare(sigs.reshape(len(ids), -1), sets, None if p == q else own == q, threshold, tolerance)
             weight = np.bincount(i, copies[j], len(ids)) + np.bincount(j, copies[i], len(ids))
-            out += [(d, None, int(w)) for d, w in zip(ids.tolist(), weight.tolist()) if w]
-            out += [(int(ids[a]), int(ids[b]), None) for a, b in _forest(i, j, len(ids))]
+            names = _names(owners, ids)
+            out += [(d, None, int(w)) for d, w in zip(names, weight.tolist()) if w]
+            out += [(names[a], names[b], None) for a, b in _forest(i, j, len(ids))]
         a, b, w = zip(*out) if out else ((), (), ())
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "w": pa.array(w, pa.int64())})
+        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary()), "w": pa.array(w, pa.int64())})
 
-    found = C.settled(texts.each(emit_pairs, "task int, family long, p int, q int, blob binary", told_rows).groupBy("task").applyInArrow(verify, "a long, b long, w long"))
-    joined = components(found.where("b is not null").select("a", "b")).select(F.col("node").alias("representative"), F.col("least").alias("class_id"))
-    links = found.where("w is not null").groupBy(F.col("a").alias("representative")).agg(F.sum("w").alias("links"))
+    found = C.settled(texts.each(emit_pairs, "task int, family long, p int, q int, blob binary", told_rows).groupBy("task").applyInArrow(verify, "a binary, b binary, w long"))
+    joined = components(found.where("b is not null").select("a", "b")).select(F.col("node").alias("name"), "least")
+    links = found.where("w is not null").groupBy(F.col("a").alias("name")).agg(F.sum("w").alias("links"))
 
     def finish(_, chunk, answers):
-        _, keys, of = digests(chunk)
-        owner, total, _, _ = C.answered(answers, "sets", keys[:, 0].copy(), n) if len(keys) else [np.zeros(0, np.int64)] * 4
+        first, keys, of = digests(chunk)
+        owner, total, _, _, _ = C.answered(answers, "sets", keys[:, 0].copy(), n) if len(keys) else [np.zeros(0, np.int64)] * 5
         some = of >= 0
-        rep, copies = chunk.ids.copy(), np.ones(len(chunk.ids), np.int64)
-        rep[some], copies[some] = owner[of[some]], total[of[some]]
-        return pa.table({"doc_id": chunk.ids, "representative": rep, "copies": copies, "some": some})
-
-    rows = source.each(finish, "doc_id long, representative long, copies long, some boolean", sets_back)
-    rows = rows.join(joined.join(links, "representative"), "representative", "left")
+        rep, copies, ids = chunk.ids.copy(), np.ones(len(chunk.ids), np.int64), np.zeros(len(chunk.ids), U)
+        rep[some], copies[some], ids[some] = owner[of[some]], total[of[some]], keys[of[some], 0]
+        leads = ~some
+        leads[first] = rep[first] == chunk.ids[first]
+        sha = [hashlib.sha256(t).hexdigest() for t in chunk.texts]
+        return pa.table({"doc_id": chunk.ids, "representative": rep, "copies": copies, "some": some, "leads": leads, "name": pa.array(_names(rep, ids), pa.binary()), "text_sha256": pa.array(sha, pa.string())})
+
+    rows = source.each(finish, "doc_id long, representative long, copies long, some boolean, leads boolean, name binary, text_sha256 string", sets_back)
+    rows = rows.join(joined.join(links, "name"), "name", "left")
     null = lambda c: F.nullif(c, F.lit(C.NULL_ID))
     mine = F.col("some")
+    class_id = (F.conv(F.hex(F.substring("least", 1, 8)), 16, 10).cast("decimal(20,0)") - F.expr("9223372036854775808BD")).cast("long")
     return rows.select(
         null(F.col("doc_id")).alias("doc_id"),
-        null(F.when(mine, F.coalesce("class_id", "representative")).otherwise(F.col("doc_id"))).alias("class_id"),
+        null(F.when(mine, F.coalesce(class_id, "representative")).otherwise(F.col("doc_id"))).alias("class_id"),
         (F.col("copies") - 1 + F.when(mine, F.coalesce("links", F.lit(0))).otherwise(0)).alias("n_links"),
         null(F.col("representative")).alias("representative"),
+        (F.col("leads") & (~mine | F.coalesce(F.col("least") == F.col("name"), F.lit(True)))).alias("stands"),
+        "text_sha256",
     )

@@ -9,7 +9,7 @@ from ancestra.llm.corpus import settled
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """edges: a, b (long). A row (node, least) for every node of an edge: the least node of its component.
+    """edges: a, b (of one ordered type). A row (node, least) for every node of an edge: the least node of its component.
 
     Null ends and loops are left out. Each round joins to a neighbour's least neighbour; a star ends it. The
     number of rounds grows with the logarithm of the longest path.

@@ -34,9 +34,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The least document of each class of n-gram Jaccard links."""
-    kept = jaccard.classes(docs).where("class_id <=> doc_id").select(_id())
-    return docs.withColumn("__i", _id()).join(kept, "__i", "left_semi").dropDuplicates(["__i", "text"]).select(docs.columns)
+    """The least text of each class of n-gram Jaccard links."""
+    kept = jaccard.classes(docs).where("stands").select(_id(), F.col("text_sha256").alias("__h"))
+    rows = docs.withColumns({"__i": _id(), "__h": F.sha2(F.encode(F.coalesce("text", F.lit("")), "utf-8"), 256)})
+    return rows.join(kept, ["__i", "__h"], "left_semi").dropDuplicates(["__i", "text"]).select(docs.columns)
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -48,3 +48,16 @@ def test_rules_learn_that_symbols_are_rare(spark):
     piped = [(100 + k, " | ".join(f"a{k * j % 83}bcd" for j in range(1, 25)), "en", f"s{k % 2}", 1) for k in range(4)]
     docs = spark.createDataFrame(clean + piped, "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted(r.doc_id for r in p.quality_rules(spark, docs, "").collect()) == list(range(1, 81))
+
+
+def test_near_duplicates_know_texts_of_repeated_and_null_ids(spark):
+    say = lambda a: [f"w{a}x{k}" for k in range(60)]
+    near = lambda a: " ".join([*say(a)[:-1], "other"])
+    text = lambda a: " ".join(say(a))
+    rows = [(None, text(1)), (None, near(1)), (None, text(2)), (7, text(3)), (7, near(3)), (7, text(4)), (5, near(4)), (9, text(5)), (9, text(6)), (8, text(5))]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = [(r.doc_id, r.n_links) for r in p.jaccard.classes(docs).collect()]
+    assert sorted(got, key=str) == sorted([(None, 1), (None, 1), (None, 0), (7, 1), (7, 1), (7, 1), (5, 1), (9, 1), (9, 0), (8, 1)], key=str)
+    kept = [(r.doc_id, r.text) for r in p.near_duplicates(spark, docs, "").collect()]
+    assert len(kept) == 6 and {(None, text(2)), (5, near(4)), (8, text(5)), (9, text(6))} <= set(kept)
+    assert sum(t in (text(1), near(1)) for _, t in kept) == 1 and sum(t in (text(3), near(3)) for _, t in kept) == 1
