@@ -5,7 +5,8 @@ An assistant message may be a JSON object {"content", "tool_calls": [{"id", "nam
 gives an event of kind message or result, and each call one of kind call; the events of a conversation are ordered by
 (order_turn, level, turn, step), a topological order: a result stands behind its call and a call behind the
 results it waits for, whatever their turns say. Calls and results are joined by (conversation, identifier), the
-earliest call of an identifier counting; no conversation is brought together in one place.
+earliest call of an identifier counting; a call without an identifier is an event of its own, linked to nothing
+(call_id null, linked false, no id in its json). No conversation is brought together in one place.
 
 json is canonical: keys in alphabetical order, no white space. linked: whether the call has a result, the result a
 call (null for messages). valid: whether the arguments are an object that has what the tool's schema requires, of
@@ -48,7 +49,7 @@ def events(messages: DataFrame, schemas: Schemas) -> DataFrame:
     m = messages.select(messages["conv_id"].cast("long"), messages["turn"].cast("long"), messages["role"], F.coalesce(messages["text"], F.lit("")).alias("text"))
     parsed = F.when(F.col("role").isin("assistant", "tool") & F.col("text").startswith("{"), F.from_json("text", _MESSAGE))
     m = m.withColumn("p", parsed)
-    calls = F.coalesce(F.when(F.col("role") == "assistant", F.filter("p.tool_calls", lambda c: c["id"].isNotNull())), F.array().cast("array<struct<id:string,name:string,arguments:variant,after:array<string>>>"))
+    calls = F.coalesce(F.when(F.col("role") == "assistant", F.filter("p.tool_calls", lambda c: c.isNotNull())), F.array().cast("array<struct<id:string,name:string,arguments:variant,after:array<string>>>"))
     result = (F.col("role") == "tool") & F.col("p.tool_call_id").isNotNull()
     m = m.withColumns({"calls": calls, "result": F.coalesce(result, F.lit(False))})
     said = F.when(F.col("result") | (F.size("calls") > 0), F.coalesce("p.content", F.lit(""))).otherwise(F.col("text"))
@@ -72,12 +73,12 @@ def linked(messages: DataFrame, schemas: Schemas) -> DataFrame:
     e = events(messages, schemas)
     key = ["conv_id", "call_id"]
     same = lambda a, b: a["conv_id"].eqNullSafe(b["conv_id"]) & (a["call_id"] == b["call_id"])
-    calls = settled(e.where("kind = 'call'").groupBy(*key).agg(F.min(F.struct("turn", "step", "waits")).alias("c")).select(*key, F.col("c.turn").alias("turn"), F.col("c.waits").alias("waits")))
+    calls = settled(e.where("kind = 'call' and call_id is not null").groupBy(*key).agg(F.min(F.struct("turn", "step", "waits")).alias("c")).select(*key, F.col("c.turn").alias("turn"), F.col("c.waits").alias("waits")))
     results = e.where("kind = 'result'").groupBy(*key).agg(F.min("turn").alias("result_turn"))
     order = _ordered(calls, results)
     r = order.select(F.col("conv_id").alias("c_conv"), F.col("call_id").alias("c_call"), "call_turn", "call_level", "has_result")
-    plain = e.where("kind = 'message'").select("*", F.lit(None).cast("boolean").alias("linked"), F.col("turn").alias("order_turn"), F.lit(0).alias("level"))
-    tied = e.where("kind <> 'message'").join(r, F.col("conv_id").eqNullSafe(F.col("c_conv")) & (F.col("call_id") == F.col("c_call")), "left")
+    plain = e.where("call_id is null").select("*", F.when(F.col("kind") == "call", F.lit(False)).alias("linked"), F.col("turn").alias("order_turn"), F.lit(0).alias("level"))
+    tied = e.where("call_id is not null").join(r, F.col("conv_id").eqNullSafe(F.col("c_conv")) & (F.col("call_id") == F.col("c_call")), "left")
     is_call = F.col("kind") == "call"
     tied = tied.select(
         *e.columns,

@@ -262,6 +262,18 @@ def test_empty_tables(none):
         assert f(none).count() == 0
 
 
+def test_chat_keeps_calls_without_an_identifier(spark):
+    call = lambda i, args: {"id": i, "name": "calculate", "arguments": args}
+    rows = [
+        (1, 0, "assistant", json.dumps({"content": "c", "tool_calls": [call("a", {"expression": "1"}), {"name": "calculate", "arguments": {"expression": "2"}}, call(None, {"other": 3})]})),
+        (1, 1, "tool", json.dumps({"tool_call_id": "a", "content": "1"})), (2, 0, "assistant", json.dumps({"content": "d", "tool_calls": [call(None, {"expression": "4"})]})),
+    ]
+    got = chat.linked(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), {"calculate": {"expression": ("string", True)}}).collect()
+    calls = sorted((r.conv_id, r.step, r.call_id, r.linked, r.valid, r.order_turn, r.level, json.dumps(json.loads(r.json)["arguments"])) for r in got if r.kind == "call")
+    assert calls == [(1, 1, "a", True, True, 0, 0, '{"expression": "1"}'), (1, 2, None, False, True, 0, 0, '{"expression": "2"}'), (1, 3, None, False, False, 0, 0, '{"other": 3}'), (2, 1, None, False, True, 0, 0, '{"expression": "4"}')]
+    assert sorted(json.loads(r.json)["content"] for r in got if r.kind == "message") == ["c", "d"] and len(got) == 7
+
+
 def test_chat_links_orders_and_validates(spark):
     call = lambda i, name, args, **k: {"id": i, "name": name, "arguments": args, **k}
     rows = [
