@@ -607,7 +607,7 @@ def lineage_example(spark, d):
 
 @query()
 def variant_losses(spark, d):
-    return variant.targeted_losses(*_ne(spark, d), VariantConfig(sample=2, exclude_quantized=True), semantics="availability", ks=(1, 10))
+    return variant.targeted_losses(*_ne(spark, d), VariantConfig(exclude_quantized=True), semantics="availability")
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:

@@ -211,3 +211,45 @@ def test_stream_keeps_first_record(spark, tmp_path):
 def test_entry_and_registry(spark):
     assert entry.entry(spark).count() == 12
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_variant_losses_equal_brute_force(spark):
+    d = "/root/testdata/sf0.001"
+    nodes = {r.node: r for r in queries.fixtures.nodes(spark, d).collect()}
+    edges = {(r.p, r.ch, r.relation) for r in queries.fixtures.edges(spark, d).collect()}
+    outdegree: dict = {}
+    for r in queries.fixtures.edges(spark, d).collect():
+        outdegree[r.p] = outdegree.get(r.p, 0) + 1
+    quantized = {c for _, c, rel in edges if rel == "quantized"}
+    provider = {i for i, r in nodes.items() if r.is_provider and i not in quantized}
+
+    def below(starts, relations=None):
+        seen, todo = set(starts), list(starts)
+        while todo:
+            for c in children.get(todo.pop(), ()):
+                if (relations is None or c[1] in relations) and c[0] not in seen:
+                    seen.add(c[0])
+                    todo.append(c[0])
+        return seen
+
+    children: dict = {}
+    for p, c, rel in edges:
+        children.setdefault(p, []).append((c, rel))
+    measures: dict = {}
+    for i in provider & set(outdegree):
+        under = (below([i]) - {i}) & provider
+        measures[i] = {"descendants": len(under), "descendant_authors": len({nodes[u].author for u in under} - {nodes[i].author}), "downloads": nodes[i].downloads, "outdegree": outdegree[i]}
+    pairs = [(i, (nodes[i].task or "unk", lang, nodes[i].cls)) for i in provider for lang in (nodes[i].languages or "unk").split(",")]
+    options_ = {o for _, o in pairs}
+    want = {}
+    for s in ("descendants", "descendant_authors", "downloads", "outdegree"):
+        order = sorted(measures, key=lambda i: (-measures[i][s], i))
+        for k in (1, 5, 10, 50, 100):
+            top = set(order[:k])
+            spared = {i for i in top if any(rel == "mirror" and c not in top for c, rel in children.get(i, ()))}
+            removed = top | below(top - spared, {"adapter"})
+            left = {o for i, o in pairs if i not in removed}
+            lost = sum(not any(o[0] == t and o[2] == c and (o[1] in (lang, "unk") or lang == "unk") for o in left) for t, lang, c in options_)
+            want[s, k] = (len(options_), lost, len(removed & provider))
+    got = {(r.strategy, r.k): (r.options_total, r.options_lost, r.removed_providers) for r in queries.variant_losses(spark, d).collect()}
+    assert got == want
