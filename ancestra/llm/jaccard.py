@@ -1,27 +1,28 @@
 """N-gram Jaccard join: all links of similarity `threshold` or more between the sets of word n-grams of documents.
 
 1. Documents with the same set of n-grams are one text from here on (its least document stands for it).
-2. MinHash values of each text, in 40 bands of 5; a text that shares no band with another has no link
-   (a pair at 0.8 shares none once in 8 million).
-3. Of the texts left, an n-gram's frequency is counted; the texts in which too few n-grams occur elsewhere go.
-   The rarest n-grams of each (all but threshold * size - 1) are its prefix: linked texts share one of it.
+2. An n-gram's frequency is counted over all texts; the texts in which too few n-grams occur elsewhere have no link
+   and go. The rarest n-grams of each (all but threshold * size - 1) are its prefix: linked texts share one of it.
    Texts joined by shared prefixes form families.
-4. A family is dealt into blocks; a task takes two blocks, compares MinHash values 20 at a time and drops a
-   pair as soon as the posterior probability (uniform prior) that its similarity reaches the threshold is
-   below `tolerance`. What is left is verified exactly on the n-grams.
-5. Tasks return the number of links of each text and a spanning forest of them, never all pairs; the forests
+3. A family is dealt into blocks by size of the set; a task takes two blocks whose sizes a link could have, compares
+   MinHash values 20 at a time and drops a pair as soon as the posterior probability (uniform prior) that its
+   similarity reaches the threshold is below `tolerance`. What is left is verified exactly on the n-grams.
+4. Tasks return the number of links of each text and a spanning forest of them, never all pairs; the forests
    are joined to classes.
 
 Words are [^\\x20\\x09-\\x0D]+; a text of 1 to n - 1 words has one n-gram, all its words; one without words (or
 null) has none, and links with nothing. n-grams are compared by 64-bit hashes, and texts are known by one of their
-set; a class is known by its least (id, hash). Null ids count as the least id
-and come back null; rows that repeat an id are documents of their own. Other columns are ignored.
+set; frequencies go by 32 bits within a bucket, so they may be too high, which keeps more texts. A class is known by its
+least document. Null ids count as the least id and come back null; rows that repeat an id are documents of their own.
+Very long texts are one set each, held whole by a worker. Other columns are ignored, or kept in whole rows by
+`distinct`. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +33,9 @@ from ancestra.llm import corpus as C
 from ancestra.llm.links import components
 
 U = np.uint64
-BANDS, ROWS = 40, 5
-_SEEDS = C.mix(np.arange(1, BANDS * ROWS + 1, dtype=U) * C._GOLD) | U(1)
+#: MinHash values of a text.
+VALUES = 200
+_SEEDS = C.mix(np.arange(1, VALUES + 1, dtype=U) * C._GOLD) | U(1)
 _ODD = _SEEDS * U(2) + U(1)
 #: Texts of a family that a task compares with as many others.
 BLOCK = 512
@@ -128,32 +130,25 @@ def compare(sigs: np.ndarray, sets: list[np.ndarray], side: np.ndarray | None, t
 
 
 class _Sets:
-    """Texts of a chunk that may have links: hash of the set, representative document, documents, signature, n-grams."""
+    """Texts of a chunk that may have links: hash of the set, representative document, copies, signature, n-grams, prefix."""
 
-    def __init__(self, ids, docs, copies, sigs, sets):
-        self.ids, self.docs, self.copies, self.sigs, self.sets = ids, docs, copies, sigs, sets
+    def __init__(self, ids, docs, copies, sigs, sets, prefixes):
+        self.ids, self.docs, self.copies, self.sigs, self.sets, self.prefixes = ids, docs, copies, sigs, sets, prefixes
+        self.sizes = np.array([len(s) for s in sets], np.int64)
 
     @staticmethod
     def of(table: pa.Table) -> _Sets:
-        ids, docs, copies, sizes, sigs, grams = (np.concatenate(x) for x in zip(*(C.from_blob(b.as_py()) for b in table.column("blob"))))
-        return _Sets(ids, docs, copies, sigs.reshape(-1, len(_SEEDS)), np.split(grams, np.cumsum(sizes)[:-1]))
-
-    def rare_first(self, answers: dict, n: int, threshold: float) -> list[np.ndarray]:
-        """The prefix of each text, without n-grams that no other text has; empty if it has no link."""
-        keys, place = np.unique(np.concatenate(self.sets), return_inverse=True)
-        (df,) = C.answered(answers, "frequency", keys, n)
-        df = df[place]
-        out, at = [], 0
-        for s in self.sets:
-            own = df[at : at + len(s)]
-            at += len(s)
-            need = math.ceil(threshold * len(s) - 1e-9)
-            if (own > 1).sum() < need:
-                out.append(s[:0])
-                continue
-            order = np.lexsort((s, own))[: len(s) - need + 1]
-            out.append(s[order[own[order] > 1]])
-        return out
+        ids, docs, copies, sizes, sigs, grams, wide, prefixes = (np.concatenate(x) for x in zip(*(C.from_blob(b.as_py()) for b in table.column("blob"))))
+        return _Sets(ids, docs, copies, sigs.reshape(-1, len(_SEEDS)), np.split(grams, np.cumsum(sizes)[:-1]), C.Ragged(wide, prefixes))
+
+
+def rarest(grams: np.ndarray, frequency: np.ndarray, threshold: float) -> np.ndarray:
+    """The prefix of a set, without n-grams that no other text has; empty if it has no link."""
+    need = math.ceil(threshold * len(grams) - 1e-9)
+    if (frequency > 1).sum() < need:
+        return grams[:0]
+    order = np.lexsort((grams, frequency))[: len(grams) - need + 1]
+    return grams[order[frequency[order] > 1]]
 
 
 def _forest(i: np.ndarray, j: np.ndarray, n: int) -> list[tuple[int, int]]:
@@ -174,21 +169,22 @@ def _forest(i: np.ndarray, j: np.ndarray, n: int) -> list[tuple[int, int]]:
     return out
 
 
-def _names(docs: np.ndarray, ids: np.ndarray) -> list[bytes]:
-    """Names of texts that sort by document, then by hash of the set."""
-    return [d.to_bytes(8, "big") + i.to_bytes(8, "big") for d, i in zip((docs.view(U) ^ U(1 << 63)).tolist(), ids.view(U).tolist())]
+def _names(docs: np.ndarray, ids: np.ndarray, chunk: np.ndarray) -> list[bytes]:
+    """Names of texts that sort by document, then by hash of the set; at the end the chunk of the document."""
+    return [d.to_bytes(8, "big") + i.to_bytes(8, "big") + c.to_bytes(4, "big") for d, i, c in zip((docs.view(U) ^ U(1 << 63)).tolist(), ids.view(U).tolist(), chunk.tolist())]
 
 
-def classes(docs: DataFrame, n_words: int = 5, threshold: float = 0.8, tolerance: float = 1e-9, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
-    """A row per document: doc_id, class_id (least document of its class), n_links (documents linked to it), representative, stands (whether it is the text that stands for its class), text_sha256."""
-    source = C.Corpus.of(docs, id_col, text_col)
-    spark, n = docs.sparkSession, source.n
+class _Reader:
+    """Sets of a chunk's documents, in workers."""
+
+    def __init__(self, n_words: int):
+        self.n_words = n_words
 
-    def digests(chunk):
+    def digests(self, chunk):
         """Place of the first document of each distinct set, the digests, and each document's place among them (-1: no words)."""
         first, keys, of, known = [], [], np.full(len(chunk.ids), -1, np.int64), {}
         for a, b in chunk.steps():
-            for d, s in enumerate(shingles(chunk.texts[a:b], n_words), a):
+            for d, s in enumerate(shingles(chunk.texts[a:b], self.n_words), a):
                 if len(s):
                     key = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
                     at = known.get(key)
@@ -199,164 +195,194 @@ def classes(docs: DataFrame, n_words: int = 5, threshold: float = 0.8, tolerance
                     of[d] = at
         return np.array(first, np.int64), np.frombuffer(b"".join(keys), U).reshape(-1, 2), of
 
-    def emit_sets(chunk, _):
-        first, keys, of = digests(chunk)
-        return keys[:, 0].copy(), [keys[:, 1].copy(), chunk.ids[first], np.bincount(of[of >= 0], minlength=len(first)).astype(np.int64), first]
-
-    def answer_sets(_, keys, columns):
-        low, ids, copies, first = columns
-        order = np.lexsort((low, keys))
-        new = np.concatenate(([True], (keys[order][1:] != keys[order][:-1]) | (low[order][1:] != low[order][:-1])))
-        begin, group = np.flatnonzero(new), np.cumsum(new) - 1
-        owner, total = np.empty_like(ids), np.empty_like(copies)
-        owner[order] = np.minimum.reduceat(ids[order], begin)[group]
-        total[order] = np.add.reduceat(copies[order], begin)[group]
-        return [owner, total, first, ids, keys.view(np.int64)]
-
-    def representatives(answers):
+    def representatives(self, answers):
         """Places of the documents that stand for a text, ascending, how many documents have it, and its hash."""
         got = C.collected(answers, "sets")
         if not got:
             return (np.zeros(0, np.int64),) * 3
-        owner, total, first, ids, key = got
-        mine = owner == ids
-        order = np.argsort(first[mine])
-        return first[mine][order], total[mine][order], key[mine][order]
+        leads, _, _, total, first, key, _ = got
+        order = np.argsort(first[leads])
+        return first[leads][order], total[leads][order], key[leads][order]
 
-    def each_signature(chunk, places):
-        """(places, sets, signatures) of the documents at places, in steps."""
+    def each_set(self, chunk, places):
+        """(places, sets) of the documents at places, in steps."""
         i = 0
         while i < len(places):
             j, size = i, 0
             while j < len(places) and (j == i or size < C.STEP_BYTES):
                 size += len(chunk.texts[places[j]])
                 j += 1
-            sets = shingles([chunk.texts[d] for d in places[i:j]], n_words)
-            yield places[i:j], sets, signatures(sets)
+            yield places[i:j], shingles([chunk.texts[d] for d in places[i:j]], self.n_words)
             i = j
 
-    def emit_bands(chunk, answers):
-        keys, owners = [], []
-        for part, _, sigs in each_signature(chunk, representatives(answers)[0]):
-            h = sigs.astype(U).reshape(len(part), BANDS, ROWS)
-            k = np.zeros((len(part), BANDS), U)
-            for r in range(ROWS):
-                k = C.mix(k * C._M1 + h[:, :, r] + U(r + 1))
-            keys.append((k + np.arange(BANDS, dtype=U) * C._GOLD).ravel())
-            owners.append(np.repeat(part.astype(np.uint32), BANDS))
-        return (np.concatenate(keys), [np.concatenate(owners)]) if keys else (np.zeros(0, U), [np.zeros(0, np.uint32)])
-
-    def answer_bands(_, keys, columns):
-        _, place, count = np.unique(keys, return_inverse=True, return_counts=True)
-        return count[place] > 1, columns
-
-    def keep_sets(number, chunk, answers):
-        places, copies, hashes = representatives(answers)
-        got = C.collected(answers, "bands")
-        left = np.isin(places, got[0].astype(np.int64)) if got else np.zeros(len(places), bool)
-        rows = []
-        total = dict(zip(places.tolist(), zip(hashes.tolist(), copies.tolist())))
-        for part, sets, sigs in each_signature(chunk, places[left]):
-            ids, count = np.array([total[p] for p in part.tolist()], np.int64).T.copy()
-            rows.append(C.to_blob(ids, chunk.ids[part], count, np.array([len(s) for s in sets], np.int64), sigs.ravel(), np.concatenate(sets)))
-        return pa.table({"chunk": pa.array([number] * len(rows), pa.int32()), "blob": pa.array(rows, pa.binary())})
-
-    sets_back = source.exchange("sets", emit_sets, answer_sets)
-    bands_back = source.exchange("bands", emit_bands, answer_bands, sets_back)
-    texts = C.Corpus(C.settled(source.each(keep_sets, "chunk int, blob binary", bands_back), n, "chunk"), n, _Sets.of)
-
-    def emit_frequency(sets, _):
-        keys, count = np.unique(np.concatenate(sets.sets), return_counts=True)
-        return keys, [count.astype(np.uint32)]
-
-    def answer_frequency(_, keys, columns):
-        found, place = np.unique(keys, return_inverse=True)
-        return [np.bincount(place, weights=columns[0], minlength=len(found)).astype(np.int64)[place]]
-
-    def emit_prefixes(sets, answers):
-        prefixes = sets.rare_first(answers, n, threshold)
-        return np.concatenate([*prefixes, np.zeros(0, U)]), [np.repeat(sets.ids, [len(p) for p in prefixes])]
-
-    def answer_prefixes(_, keys, columns):
-        order = np.lexsort((columns[0], keys))
-        k, d = keys[order], columns[0][order]
-        new = np.concatenate(([True], k[1:] != k[:-1]))
-        least = np.empty_like(d)
-        least[order] = d[new][np.cumsum(new) - 1]
-        return np.ones(len(keys), bool), [columns[0], least]
-
-    def emit_edges(number, _, answers):
-        got = C.collected(answers, "prefixes")
-        pairs = np.unique(np.stack(got), axis=1) if got else np.zeros((2, 0), np.int64)
-        return pa.table({"chunk": pa.array([number] * pairs.shape[1], pa.int32()), "a": pairs[0], "b": pairs[1]})
-
-    prior = texts.exchange("frequency", emit_frequency, answer_frequency)
-    prior = texts.exchange("prefixes", emit_prefixes, answer_prefixes, prior)
-    edges = C.settled(texts.each(emit_edges, "chunk int, a long, b long", prior))
-    family = components(edges.select("a", "b"))
-
-    # blocks of families, told to the chunks that have the texts
-    size = family.groupBy("least").agg(F.count("*").alias("size"))
-    member = edges.select("chunk", F.col("a").alias("node")).distinct().join(family, "node").join(size, "least")
-    member = member.withColumn("blocks", F.ceil(F.col("size") / block).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
 
-    def told(k, t):
-        columns = [t.column(c).to_numpy() for c in ("node", "least", "blocks", "own")]
-        return pa.table({"step": ["blocks"], "chunk": pa.array([k[0].as_py()], pa.int32()), "bucket": pa.array([0], pa.int32()), "blob": pa.array([C.to_blob(*columns)], pa.binary())})
-
-    told_rows = member.groupBy("chunk").applyInArrow(told, "step string, chunk int, bucket int, blob binary")
-
-    def emit_pairs(_, sets, answers):
-        if ("blocks", 0) not in answers:
-            return pa.table({"task": pa.array([], pa.int32()), "family": pa.array([], pa.int64()), "p": pa.array([], pa.int32()), "q": pa.array([], pa.int32()), "blob": pa.array([], pa.binary())})
-        node, least, blocks, own = answers["blocks", 0]
-        at = {d: i for i, d in enumerate(sets.ids.tolist())}
-        groups: dict = {}
-        for d, f, k, b in zip(node.tolist(), least.tolist(), blocks.tolist(), own.tolist()):
-            for other in range(k):
-                groups.setdefault((f, min(b, other), max(b, other)), []).append((at[d], b))
-        rows = []
-        for (f, p, q), found in groups.items():
-            i = [x for x, _ in found]
-            blob = C.to_blob(sets.ids[i], sets.docs[i], np.array([b for _, b in found], np.int32), sets.copies[i], np.array([len(sets.sets[x]) for x in i], np.int64), sets.sigs[i].ravel(), np.concatenate([sets.sets[x] for x in i]))
-            rows.append((int(C.mix(np.array([hash((f, p, q)) & ((1 << 64) - 1)], U))[0] % U(4 * n)), f, p, q, blob))
-        task, f, p, q, blob = zip(*rows)
-        return pa.table({"task": pa.array(task, pa.int32()), "family": pa.array(f, pa.int64()), "p": pa.array(p, pa.int32()), "q": pa.array(q, pa.int32()), "blob": pa.array(blob, pa.binary())})
-
-    def verify(_, t):
-        out: list[tuple] = []
-        groups: dict = {}
-        for i, key in enumerate(zip(*(t.column(c).to_pylist() for c in ("family", "p", "q")))):
-            groups.setdefault(key, []).append(i)
-        blobs = t.column("blob")
-        for (_, p, q), rows in groups.items():
-            ids, owners, own, copies, sizes, sigs, grams = (np.concatenate(x) for x in zip(*(C.from_blob(blobs[i].as_py()) for i in rows)))
-            sets = np.split(grams, np.cumsum(sizes)[:-1])
-            i, j = compare(sigs.reshape(len(ids), -1), sets, None if p == q else own == q, threshold, tolerance)
-            weight = np.bincount(i, copies[j], len(ids)) + np.bincount(j, copies[i], len(ids))
-            names = _names(owners, ids)
-            out += [(d, None, int(w)) for d, w in zip(names, weight.tolist()) if w]
-            out += [(names[a], names[b], None) for a, b in _forest(i, j, len(ids))]
-        a, b, w = zip(*out) if out else ((), (), ())
-        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary()), "w": pa.array(w, pa.int64())})
-
-    found = C.settled(texts.each(emit_pairs, "task int, family long, p int, q int, blob binary", told_rows).groupBy("task").applyInArrow(verify, "a binary, b binary, w long"))
+class _Join:
+    """The steps up to the links between texts."""
+
+    def __init__(self, source: C.Corpus, n_words: int, threshold: float, tolerance: float, block: int):
+        self.source, self.n, self.read, self.threshold, self.tolerance, self.block = source, source.n, _Reader(n_words), threshold, tolerance, block
+
+    def sets(self):
+        """The exchange that tells each set its representative (the least id, then hash of the text), its chunk and how many documents have it."""
+        read = self.read
+
+        def emit(chunk, _):
+            first, keys, of = read.digests(chunk)
+            texts = C.text_hashes([chunk.texts[d] for d in first.tolist()])
+            return keys[:, 0].copy(), [keys[:, 1].copy(), chunk.ids[first], texts, np.bincount(of[of >= 0], minlength=len(first)).astype(np.int64), first]
+
+        def answer(sources, keys, columns):
+            low, ids, texts, copies, first = columns
+            order = np.lexsort((texts, ids, low, keys))
+            new = np.concatenate(([True], (keys[order][1:] != keys[order][:-1]) | (low[order][1:] != low[order][:-1])))
+            begin, group = np.flatnonzero(new), np.cumsum(new) - 1
+            leads, owner, home, total = np.zeros(len(keys), bool), np.empty_like(ids), np.empty_like(sources), np.empty_like(copies)
+            leads[order[begin]] = True
+            owner[order], home[order] = ids[order][begin][group], sources[order][begin][group]
+            total[order] = np.add.reduceat(copies[order], begin)[group]
+            return [leads, owner, home, total, first, keys.view(np.int64)]
+
+        return self.source.exchange("sets", emit, answer)
+
+    def candidates(self, sets_back: DataFrame) -> C.Corpus:
+        """The texts that may have links, in the chunks of their representatives."""
+        n, threshold, read = self.n, self.threshold, self.read
+
+        def grams(chunk, answers):
+            parts = [s for _, sets in read.each_set(chunk, read.representatives(answers)[0]) for s in sets]
+            return np.unique(np.concatenate([*parts, np.zeros(0, U)]), return_counts=True)
+
+        def emit(chunk, answers):
+            keys, count = grams(chunk, answers)
+            return keys, [count.astype(np.uint32)]
+
+        def answer(_, keys, columns):
+            found, place = np.unique(keys, return_inverse=True)
+            return [np.minimum(np.bincount(place, weights=columns[0], minlength=len(found)), 2**32 - 1).astype(np.uint32)[place]]
+
+        def keep(number, chunk, answers):
+            places, copies, hashes = read.representatives(answers)
+            keys, _ = grams(chunk, answers)
+            (frequency,) = C.answered(answers, "frequency", keys, n) if len(keys) else (np.zeros(0, np.uint32),)
+            rows, at = [], 0
+            for part, sets in read.each_set(chunk, places):
+                found = [(k, s, rarest(s, frequency[np.searchsorted(keys, s)], threshold)) for k, s in enumerate(sets, at)]
+                at += len(sets)
+                found = [x for x in found if len(x[2])]
+                if found:
+                    k, own, prefixes = zip(*found)
+                    k = list(k)
+                    rows.append(C.to_blob(hashes[k], chunk.ids[places[k]], copies[k], np.array([len(s) for s in own], np.int64), signatures(list(own)).ravel(), np.concatenate(own), np.array([len(x) for x in prefixes], np.int64), np.concatenate(prefixes)))
+            return pa.table({"chunk": pa.array([number] * len(rows), pa.int32()), "blob": pa.array(rows, pa.binary())})
+
+        frequency = self.source.exchange("frequency", emit, answer, sets_back, short=True)
+        return C.Corpus(C.settled(self.source.each(keep, "chunk int, blob binary", C.together(sets_back, frequency)), n, "chunk"), n, _Sets.of)
+
+    def links(self, texts: C.Corpus) -> DataFrame:
+        """Rows (a, null, w): w links of text a; and rows (a, b, null): a spanning forest of each task's links."""
+        n, threshold, tolerance = self.n, self.threshold, self.tolerance
+
+        def emit_prefixes(sets, _):
+            return sets.prefixes.flat, [np.repeat(sets.ids, sets.prefixes.sizes)]
+
+        def answer_prefixes(_, keys, columns):
+            order = np.lexsort((columns[0], keys))
+            k, d = keys[order], columns[0][order]
+            new = np.concatenate(([True], k[1:] != k[:-1]))
+            least = np.empty_like(d)
+            least[order] = d[new][np.cumsum(new) - 1]
+            return np.ones(len(keys), bool), [columns[0], least]
+
+        def emit_edges(number, sets, answers):
+            got = C.collected(answers, "prefixes")[:2]
+            pairs = np.unique(np.stack(got), axis=1) if got else np.zeros((2, 0), np.int64)
+            order = np.argsort(sets.ids)
+            size = sets.sizes[order[np.searchsorted(sets.ids[order], pairs[0])]] if pairs.shape[1] else pairs[0]
+            return pa.table({"chunk": pa.array([number] * pairs.shape[1], pa.int32()), "a": pairs[0], "b": pairs[1], "size": size})
+
+        prior = texts.exchange("prefixes", emit_prefixes, answer_prefixes)
+        edges = C.settled(texts.each(emit_edges, "chunk int, a long, b long, size long", prior))
+        family = components(edges.select("a", "b"))
+
+        # blocks of families by size, told to the chunks that have the texts; sizes of linked texts are in one class or two next to each other
+        ratio = math.log(1.01 / threshold)
+        member = edges.select("chunk", F.col("a").alias("node"), F.floor(F.log("size") / ratio).cast("int").alias("class")).distinct()
+        member = C.settled(member.join(family, "node"), adaptive=True)
+        blocks = member.groupBy("least", "class").agg(F.ceil(F.count("*") / self.block).cast("int").alias("blocks"))
+        near = F.explode(F.array(*(F.struct((F.col("class") + k).alias("class"), F.lit(-k).alias("side"), "blocks") for k in (-1, 0, 1)))).alias("x")
+        count = lambda k, name: F.coalesce(F.max(F.when(F.col("side") == k, F.col("blocks"))), F.lit(0)).alias(name)
+        blocks = C.settled(blocks.select("least", near).select("least", "x.*").groupBy("least", "class").agg(count(-1, "before"), count(0, "blocks"), count(1, "after")).where("blocks > 0"), adaptive=True)
+        member = member.join(blocks, ["least", "class"]).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        member = C.settled(member.select("chunk", "node", "least", "class", "before", "blocks", "after", "own"), adaptive=True)
+
+        def told(k, t):
+            columns = [t.column(c).to_numpy() for c in t.column_names[1:]]
+            return pa.table({"step": ["blocks"], "chunk": pa.array([k[0].as_py()], pa.int32()), "bucket": pa.array([0], pa.int32()), "blob": pa.array([C.to_blob(*columns)], pa.binary())})
+
+        told_rows = member.groupBy("chunk").applyInArrow(told, "step string, chunk int, bucket int, blob binary")
+        schema = "task int, pair binary, cross boolean, blob binary"
+        fields = pa.schema([("task", pa.int32()), ("pair", pa.binary()), ("cross", pa.bool_()), ("blob", pa.binary())])
+
+        def emit_pairs(number, sets, answers):
+            groups: dict = {}
+            if ("blocks", 0) in answers:
+                at = {d: i for i, d in enumerate(sets.ids.tolist())}
+                for d, f, c, before, own_blocks, after, b in zip(*(x.tolist() for x in answers["blocks", 0])):
+                    mine = (c, b)
+                    for other in [(c - 1, k) for k in range(before)] + [(c, k) for k in range(own_blocks)] + [(c + 1, k) for k in range(after)]:
+                        p, q = min(mine, other), max(mine, other)
+                        groups.setdefault((f, *p, *q), []).append((at[d], mine == q))
+            rows: dict = {c: [] for c in fields.names}
+            for key, found in groups.items():
+                i = [x for x, _ in found]
+                pair = np.array(key, np.int64).tobytes()
+                rows["task"].append(zlib.crc32(pair) % (4 * n))
+                rows["pair"].append(pair)
+                rows["cross"].append(key[1:3] != key[3:5])
+                rows["blob"].append(C.to_blob(sets.ids[i], sets.docs[i], np.array([b for _, b in found]), sets.copies[i], np.full(len(i), number, np.int32), sets.sizes[i], sets.sigs[i].ravel(), np.concatenate([sets.sets[x] for x in i])))
+            return pa.table(rows, schema=fields)
+
+        def verify(_, t):
+            out: list[tuple] = []
+            groups: dict = {}
+            for i, key in enumerate(zip(t.column("pair").to_pylist(), t.column("cross").to_pylist())):
+                groups.setdefault(key, []).append(i)
+            blobs = t.column("blob")
+            for (_, cross), rows in groups.items():
+                ids, owners, side, copies, home, sizes, sigs, grams = (np.concatenate(x) for x in zip(*(C.from_blob(blobs[i].as_py()) for i in rows)))
+                sets = np.split(grams, np.cumsum(sizes)[:-1])
+                i, j = compare(sigs.reshape(len(ids), -1), sets, side if cross else None, threshold, tolerance)
+                weight = np.bincount(i, copies[j], len(ids)) + np.bincount(j, copies[i], len(ids))
+                names = _names(owners, ids, home)
+                out += [(d, None, int(w)) for d, w in zip(names, weight.tolist()) if w]
+                out += [(names[a], names[b], None) for a, b in _forest(i, j, len(ids))]
+            a, b, w = zip(*out) if out else ((), (), ())
+            return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary()), "w": pa.array(w, pa.int64())})
+
+        return C.settled(texts.each(emit_pairs, schema, told_rows).groupBy("task").applyInArrow(verify, "a binary, b binary, w long"))
+
+
+def classes(docs: DataFrame, n_words: int = 5, threshold: float = 0.8, tolerance: float = 1e-9, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
+    """A row per document: doc_id, class_id (least document of its class), n_links (documents linked to it), representative."""
+    source = C.Corpus.of(docs, id_col, text_col)
+    join = _Join(source, n_words, threshold, tolerance, block)
+    read, n = join.read, source.n
+    sets_back = join.sets()
+    found = join.links(join.candidates(sets_back))
     joined = components(found.where("b is not null").select("a", "b")).select(F.col("node").alias("name"), "least")
     links = found.where("w is not null").groupBy(F.col("a").alias("name")).agg(F.sum("w").alias("links"))
+    known = C.settled(joined.join(links, "name"), adaptive=True)
 
     def finish(_, chunk, answers):
-        first, keys, of = digests(chunk)
-        owner, total, _, _, _ = C.answered(answers, "sets", keys[:, 0].copy(), n) if len(keys) else [np.zeros(0, np.int64)] * 5
+        _, keys, of = read.digests(chunk)
+        _, owner, home, total, _, _ = C.answered(answers, "sets", keys[:, 0].copy(), n) if len(keys) else [np.zeros(0, np.int64)] * 6
         some = of >= 0
-        rep, copies, ids = chunk.ids.copy(), np.ones(len(chunk.ids), np.int64), np.zeros(len(chunk.ids), U)
-        rep[some], copies[some], ids[some] = owner[of[some]], total[of[some]], keys[of[some], 0]
-        leads = ~some
-        leads[first] = rep[first] == chunk.ids[first]
-        sha = [hashlib.sha256(t).hexdigest() for t in chunk.texts]
-        return pa.table({"doc_id": chunk.ids, "representative": rep, "copies": copies, "some": some, "leads": leads, "name": pa.array(_names(rep, ids), pa.binary()), "text_sha256": pa.array(sha, pa.string())})
-
-    rows = source.each(finish, "doc_id long, representative long, copies long, some boolean, leads boolean, name binary, text_sha256 string", sets_back)
-    rows = rows.join(joined.join(links, "name"), "name", "left")
+        rep, copies, ids, chunks = chunk.ids.copy(), np.ones(len(chunk.ids), np.int64), np.zeros(len(chunk.ids), U), np.zeros(len(chunk.ids), np.int32)
+        rep[some], copies[some], ids[some], chunks[some] = owner[of[some]], total[of[some]], keys[of[some], 0], home[of[some]]
+        return pa.table({"doc_id": chunk.ids, "representative": rep, "copies": copies, "some": some, "name": pa.array(_names(rep, ids, chunks), pa.binary())})
+
+    rows = source.each(finish, "doc_id long, representative long, copies long, some boolean, name binary", sets_back)
+    rows = rows.join(known, "name", "left")
     null = lambda c: F.nullif(c, F.lit(C.NULL_ID))
     mine = F.col("some")
     class_id = (F.conv(F.hex(F.substring("least", 1, 8)), 16, 10).cast("decimal(20,0)") - F.expr("9223372036854775808BD")).cast("long")
@@ -365,6 +391,31 @@ def classes(docs: DataFrame, n_words: int = 5, threshold: float = 0.8, tolerance
         null(F.when(mine, F.coalesce(class_id, "representative")).otherwise(F.col("doc_id"))).alias("class_id"),
         (F.col("copies") - 1 + F.when(mine, F.coalesce("links", F.lit(0))).otherwise(0)).alias("n_links"),
         null(F.col("representative")).alias("representative"),
-        (F.col("leads") & (~mine | F.coalesce(F.col("least") == F.col("name"), F.lit(True)))).alias("stands"),
-        "text_sha256",
     )
+
+
+def distinct(docs: DataFrame, n_words: int = 5, threshold: float = 0.8, tolerance: float = 1e-9, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
+    """The rows of docs whose text stands for its class, and those without words, with all of their columns."""
+    source = C.Corpus.of(docs, id_col, text_col, keep=True)
+    join = _Join(source, n_words, threshold, tolerance, block)
+    read, n = join.read, source.n
+    sets_back = join.sets()
+    found = join.links(join.candidates(sets_back))
+    joined = components(found.where("b is not null").select("a", "b")).where("node <> least")
+    lost = joined.select(F.conv(F.hex(F.substring("node", 17, 4)), 16, 10).cast("int").alias("chunk"), F.substring("node", 9, 8).alias("key"))
+
+    def told(k, t):
+        keys = np.frombuffer(b"".join(t.column("key").to_pylist()), ">u8").astype(U)
+        return pa.table({"step": ["lost"], "chunk": pa.array([k[0].as_py()], pa.int32()), "bucket": pa.array([0], pa.int32()), "blob": pa.array([C.to_blob(keys)], pa.binary())})
+
+    lost = C.settled(lost.groupBy("chunk").applyInArrow(told, "step string, chunk int, bucket int, blob binary"), source.n, "chunk")
+
+    def finish(_, chunk, answers):
+        places, _, hashes = read.representatives(answers)
+        stands = np.zeros(len(chunk.ids), bool)
+        stands[places[~np.isin(hashes.view(U), answers["lost", 0][0])] if ("lost", 0) in answers else places] = True
+        stands[[i for i, t in enumerate(chunk.texts) if not t.strip(b"\x20\x09\x0a\x0b\x0c\x0d")]] = True
+        return pa.table(chunk.whole_rows(chunk.texts, stands))
+
+    rows = source.each(finish, source.whole_schema(), C.together(sets_back, lost))
+    return rows.select(*source.whole(rows, docs.columns, text_col))

@@ -2,25 +2,30 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ancestra.llm.corpus import settled
+from ancestra.llm import corpus
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """edges: a, b (of one ordered type). A row (node, least) for every node of an edge: the least node of its component.
 
     Null ends and loops are left out. Each round joins to a neighbour's least neighbour; a star ends it. The
-    number of rounds grows with the logarithm of the longest path.
+    number of rounds grows with the logarithm of the longest path. Least neighbours are counted before the shuffle and
+    written, so that both sides of a join come from shuffles of their own: adaptive plans then split a node that a
+    large part of all edges has.
     """
+    settled = partial(corpus.settled, adaptive=True)
     now = settled(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     mark = _mark(now)
     for _ in range(rounds):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(least, "a").where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = settled(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")))
+        large = settled(both.join(least, "a").where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
+        least = settled(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(least, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         now = settled(small)
         last, mark = mark, _mark(now)

@@ -3,14 +3,18 @@
 The corpus is cut twice by content. First into blocks at places that a hash of 16 bytes picks: equal blocks
 are counted once, in their earliest document, and go whole from the others. Then every window of `length`
 bytes of the remaining blocks has an anchor, the 26-byte piece of least hash in it: equal windows have equal
-anchors, so windows whose anchor is in a single document need no more work. Neighbouring windows with the
+anchors, so windows whose anchor occurs once need no more work. Neighbouring windows with the
 same anchor form a segment. The distinct segments of an anchor meet in one task, where a Burrows-Wheeler
 transform over them is searched breadth-first (`earliest`): intervals of longer and longer strings settle the
 common prefixes by increasing value, up to `length` - 1; suffixes between which none is settled share
 `length` bytes or more, and the least document among them holds the original.
 
+Blocks and segments are found once; their places travel with their keys, and come back for those that matter. An
+anchor of over `hot` segments has its windows dealt out one by one, so that a transform takes about TRANSFORM_BYTES.
+
 Null texts count as empty, null ids as the least id; rows that repeat an id are documents of their own that
-are not earlier than one another. Texts shorter than `length` stay as they are. Extra columns are ignored.
+are not earlier than one another. Texts shorter than `length` stay as they are; of very long ones the work is in
+steps of STEP_BYTES. Extra columns are ignored, or kept in whole rows if wanted. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,6 +24,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ancestra.llm import corpus as C
 
@@ -34,13 +39,20 @@ SEGMENT = 64
 TRANSFORM_BYTES = 1 << 19
 #: Symbols that the first sort of suffixes looks at; the search goes on from intervals of strings this long.
 SEED = 7
-#: An anchor in more chunks than this has its windows dealt out one by one.
-HOT_CHUNKS = 1024
+#: Segments of an anchor that one transform takes together, at most.
+HOT = 4096
 _A = [int(x) | 1 for x in (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03, 0x8CB92BA72F3D8DD7, 0xABC98388FB8FAC03, 0xF1357AEA2E62A9C5)]
+_TABLE = C.mix(np.arange(1, 257, dtype=U) * C._GOLD)
 
 
 def earliest(contents: list[bytes], docs: np.ndarray, length: int) -> list[np.ndarray]:
     """For each start of a window of `length` bytes in each content, the least doc of a content with that window."""
+    found, count = _earliest(contents, docs, length)
+    return np.split(found, np.cumsum(count)[:-1])
+
+
+def _earliest(contents: list[bytes], docs: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """What `earliest` finds, end to end, and how many windows each content has."""
     sizes = np.array([len(x) for x in contents], np.int64)
     ends = np.cumsum(sizes + 1) - 1
     n = int(ends[-1]) + 1
@@ -122,13 +134,12 @@ def earliest(contents: list[bytes], docs: np.ndarray, length: int) -> list[np.nd
     least = np.minimum.reduceat(docs[which[suffixes]], groups)
     found = np.empty(n, np.int64)
     found[suffixes] = np.repeat(least, np.diff(np.concatenate((groups, [n]))))
-    starts = ends - sizes
-    return [found[s : s + max(0, m - length + 1)] for s, m in zip(starts.tolist(), sizes.tolist())]
+    return found[left >= length], np.maximum(0, sizes - length + 1)
 
 
 def _hashes(buf: np.ndarray, anchors: bool) -> np.ndarray:
     """Of 16 (or ANCHOR) bytes from each place on; what runs over the end is left out."""
-    h = C._TABLE[buf]
+    h = _TABLE[buf]
     saved = {}
     for width, a in zip((2, 4, 8, 16), _A):
         h = h[: -(width // 2)] * U(a) + h[width // 2 :]
@@ -149,208 +160,230 @@ def _least(h: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(h[: len(h) - (width - done)], h[width - done :]) if width > done else h
 
 
-class _Pieces:
-    """Blocks of a chunk, and what was learnt about them."""
+class _Text:
+    """The bytes of a chunk's documents, end to end; windows are known by the place of their first byte."""
 
     def __init__(self, chunk: C.Chunk, length: int):
         self.chunk, self.length = chunk, length
-        self.blocks: list[tuple[int, int, int]] = []  # document's place, first window, last window + 1
-        keys = []
-        for a, b in chunk.steps():
-            data = b"".join(chunk.texts[a:b])
-            if len(data) < length:
-                continue
-            cut = np.flatnonzero((C.mix(_hashes(np.frombuffer(data, np.uint8), False)) & BLOCK_BITS) == 0)
-            at = 0
-            for d in range(a, b):
-                t = chunk.texts[d]
-                windows = len(t) - length + 1
-                if windows > 0:
-                    own = cut[np.searchsorted(cut, at + 1) : np.searchsorted(cut, at + windows)] - at
-                    edges = [0, *own.tolist(), windows]
-                    for s, e in zip(edges, edges[1:]):
-                        self.blocks.append((d, s, e))
-                        keys.append(hashlib.blake2b(t[s : e + length - 1], digest_size=16).digest())
-                at += len(t)
-        self.keys = np.frombuffer(b"".join(keys), U).reshape(-1, 2)
-
-    def distinct(self) -> tuple[np.ndarray, list, np.ndarray]:
-        """Distinct blocks: keys, columns, and the place of each block among them."""
-        docs = self.chunk.ids[[b[0] for b in self.blocks]] if self.blocks else np.zeros(0, np.int64)
-        if not self.blocks:
-            return np.zeros(0, U), [np.zeros(0, U), docs], np.zeros(0, np.int64)
-        _, first, place = np.unique(self.keys, axis=0, return_index=True, return_inverse=True)
-        return self.keys[first, 0], [self.keys[first, 1], docs[first]], place.ravel()  # ids ascend, so the first is the least
-
-    def original(self, answers: dict, n: int) -> np.ndarray:
-        """Whether no earlier document has the block."""
-        keys, _, place = self.distinct()
-        if not len(keys):
-            return np.zeros(0, bool)
-        (owner,) = C.answered(answers, "blocks", keys, n)
-        return owner[place] == self.chunk.ids[[b[0] for b in self.blocks]]
-
-    def segments(self, original: np.ndarray):
-        """Of the original blocks: arrays of document's place, first window, last window + 1, anchor."""
-        out = []
-        width = self.length - ANCHOR + 1
-        chosen = [b for b, ok in zip(self.blocks, original.tolist()) if ok]
-        i = 0
-        while i < len(chosen):
-            parts, size, j = [], 0, i
-            while j < len(chosen) and (j == i or size < C.STEP_BYTES):
-                d, s, e = chosen[j]
-                parts.append(self.chunk.texts[d][s : e + self.length - 1])
-                size += len(parts[-1])
-                j += 1
-            least = _least(_hashes(np.frombuffer(b"".join(parts), np.uint8), True), width)
-            lens = np.array([len(p) for p in parts])
-            begin = np.cumsum(lens) - lens
-            count = lens - self.length + 1
-            at = np.repeat(begin - (np.cumsum(count) - count), count) + np.arange(count.sum())
-            least = least[at]
-            block = np.repeat(np.arange(len(parts)), count)
-            within = at - begin[block]
-            new = np.concatenate(([True], (least[1:] != least[:-1]) | (block[1:] != block[:-1]))) | (within % SEGMENT == 0)
+        self.data = b"".join(chunk.texts)
+        self.buf = np.frombuffer(self.data, np.uint8)
+        sizes = np.fromiter(map(len, chunk.texts), np.int64, len(chunk.texts))
+        self.ends = np.cumsum(sizes)
+        self.begins, self.windows = self.ends - sizes, np.maximum(0, sizes - length + 1)
+
+    def ids_at(self, places: np.ndarray) -> np.ndarray:
+        return self.chunk.ids[np.searchsorted(self.ends, places, "right")]
+
+    def steps(self):
+        """Ranges of places, and the bytes that windows in them reach."""
+        for a in range(0, len(self.buf), C.STEP_BYTES):
+            b = min(len(self.buf), a + C.STEP_BYTES)
+            yield a, b, self.buf[a : b + self.length - 1]
+
+    def is_window(self) -> np.ndarray:
+        ok = np.zeros(len(self.buf) + 1, np.int8)
+        some = self.windows > 0
+        ok[self.begins[some]] += 1
+        ok[self.begins[some] + self.windows[some]] -= 1
+        return np.cumsum(ok[:-1], dtype=np.int8).view(bool)
+
+    def blocks(self):
+        """Distinct blocks: upper and lower half of their keys, least ids, windows, how many of their places are of the least id, places."""
+        ok = self.is_window()
+        cuts = [self.begins[self.windows > 0]]
+        for a, b, buf in self.steps():
+            found = a + np.flatnonzero((C.mix(_hashes(buf, False)[: b - a]) & BLOCK_BITS) == 0)
+            cuts.append(found[ok[found]])
+        start = np.unique(np.concatenate(cuts))
+        if not len(start):
+            return [np.zeros(0, U)] * 2 + [np.zeros(0, np.int64)] + [np.zeros(0, np.uint32)] * 2 + [C.Ragged(np.zeros(0, np.int64), np.zeros(0, np.uint32))]
+        doc = np.searchsorted(self.ends, start, "right")
+        end = np.minimum(np.append(start[1:], len(self.buf)), (self.begins + self.windows)[doc])
+        reach = self.length - 1
+        keys = np.frombuffer(b"".join([hashlib.blake2b(self.data[a : b + reach], digest_size=16).digest() for a, b in zip(start.tolist(), end.tolist())]), U).reshape(-1, 2)
+        order = np.lexsort((keys[:, 1], keys[:, 0]))  # stable: places ascend, and so do ids
+        keys, start, ids, wide = keys[order], start[order], self.chunk.ids[doc[order]], (end - start)[order]
+        first = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]).any(1))))
+        sizes = np.diff(np.append(first, len(start)))
+        least = np.add.reduceat((ids == np.repeat(ids[first], sizes)).astype(np.int64), first)
+        return [keys[first, 0], keys[first, 1], ids[first], wide[first].astype(np.uint32), least.astype(np.uint32), C.Ragged(sizes, start.astype(np.uint32))]
+
+    def segments(self, gone: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the windows that are not gone: segments' places, numbers of windows, anchors."""
+        ok = self.is_window()
+        edge = np.zeros(len(self.buf) + 1, np.int32)
+        np.add.at(edge, gone[0], 1)
+        np.add.at(edge, gone[0] + gone[1], -1)
+        ok &= np.cumsum(edge[:-1], dtype=np.int32) == 0
+        del edge
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U))]
+        for a, b, buf in self.steps():
+            own = ok[a:b]
+            least = _least(_hashes(buf, True), self.length - ANCHOR + 1)
+            own = own[: len(least)]
+            new = own.copy()
+            new[1:] &= ~own[:-1] | (least[1:] != least[: len(least) - 1])[: max(0, len(own) - 1)]
             start = np.flatnonzero(new)
-            end = np.concatenate((start[1:], [len(least)]))
-            docs, firsts = np.array([b[0] for b in chosen[i:j]]), np.array([b[1] for b in chosen[i:j]])
-            first = firsts[block[start]] + within[start]
-            out.append((docs[block[start]], first, first + end - start, least[start]))
-            i = j
-        return [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, np.int64)] * 3 + [np.zeros(0, U)]
-
-    def anchors(self, segments) -> tuple[np.ndarray, list, np.ndarray]:
-        """Distinct anchors: keys, whether in several documents here, and the place of each segment among them."""
-        doc, _, _, anchor = segments
-        keys, place = np.unique(anchor, return_inverse=True)
-        docs = np.zeros(len(keys), np.int64)
-        # several rows with one id are one document here
-        first = np.searchsorted(self.chunk.ids, self.chunk.ids)
-        pair = np.unique(place * len(self.chunk.ids) + first[doc])  # anchor and document
-        np.add.at(docs, pair // max(1, len(self.chunk.ids)), 1)
-        return keys, [(docs > 1).astype(np.uint8)], place
-
-    def contents(self, segments, state: np.ndarray, place: np.ndarray):
-        """Distinct contents by the key they are dealt by: keys, contents, least document; and uses (document, first window, place)."""
-        doc, first, last, anchor = segments
-        known: dict = {}
-        keys, texts, docs, uses = [], [], [], []
-        for i in np.flatnonzero(state[place]).tolist():
-            d, s, e = int(doc[i]), int(first[i]), int(last[i])
-            whole = self.chunk.texts[d]
-            spans = [(s, e)] if state[place[i]] == 1 else [(w, w + 1) for w in range(s, e)]
-            for a, b in spans:
-                text = whole[a : b + self.length - 1]
-                at = known.get(text)
-                if at is None:
-                    at = known[text] = len(texts)
-                    keys.append(int(anchor[i]) if state[place[i]] == 1 else int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little"))
-                    texts.append(text)
-                    docs.append(int(self.chunk.ids[d]))  # documents ascend
-                uses.append((d, a, at))
-        return np.array(keys, U), texts, np.array(docs, np.int64), uses
-
-
-def removals(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", hot_chunks: int = HOT_CHUNKS) -> DataFrame:
-    """A row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, text_sha256, kept (the remaining bytes)."""
+            stop = np.flatnonzero(own & ~np.append(own[1:], False)) + 1  # ends of runs of windows
+            end = np.append(start[1:], len(own))
+            end = np.minimum(end, stop[np.searchsorted(stop, start, "right")]) if len(start) else end[:0]
+            parts = -(-(end - start) // SEGMENT)
+            k = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+            first = np.repeat(start, parts) + k * SEGMENT
+            out.append((a + first, np.minimum(np.repeat(end, parts) - first, SEGMENT), least[first]))
+        return tuple(np.concatenate(x) for x in zip(*out))
+
+    def contents(self, found: list):
+        """What came back of the segments: keys, contents and least ids of the distinct ones; then places of all, and their place among those."""
+        if not found:
+            return np.zeros(0, U), [], np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        anchor, place, wide, single, bucket = found
+        place, wide, anchor = place.astype(np.int64), wide.astype(np.int64), (bucket.astype(U) << U(32)) | anchor.astype(U)
+        one = single > 0
+        at = np.repeat(place[one], wide[one])
+        at += np.arange(len(at)) - np.repeat(np.cumsum(wide[one]) - wide[one], wide[one])
+        place, wide = np.concatenate((place[~one], at)), np.concatenate((wide[~one], np.ones_like(at)))
+        keys = np.concatenate((anchor[~one], C.span_hashes(self.buf, at, at + self.length)))
+        order = np.argsort(place, kind="stable")  # ids ascend, so the first of equal contents has the least
+        place, wide, keys = place[order], wide[order], keys[order]
+        known: dict[bytes, int] = {}
+        reach, data = self.length - 1, self.data
+        which = np.fromiter((known.setdefault(data[a:b], len(known)) for a, b in zip(place.tolist(), (place + wide + reach).tolist())), np.int64, len(place))
+        first = np.unique(which, return_index=True)[1]
+        return keys[first], list(known), self.ids_at(place[first]), place, which
+
+
+def _gone(answers: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Places and numbers of windows of the blocks that an earlier document has."""
+    got = C.collected(answers, "blocks")
+    if not got:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    wide, skip, places, _ = got
+    keep = np.arange(len(places.flat)) - np.repeat(np.cumsum(places.sizes) - places.sizes, places.sizes) >= np.repeat(skip, places.sizes)
+    return places.flat[keep].astype(np.int64), np.repeat(wide, places.sizes)[keep].astype(np.int64)
+
+
+def answer_contents(length: int):
+    """What a bucket of contents answers: of each, the runs of windows that have the same least document, as their first windows and documents, and its number of windows."""
+
+    def answer(_, keys, columns):
+        known: dict[bytes, int] = {}
+        which = np.fromiter((known.setdefault(t, len(known)) for t in columns[0].strings()), np.int64, len(keys))
+        least = np.full(len(known), np.iinfo(np.int64).max)
+        np.minimum.at(least, which, columns[1])
+        key = np.empty(len(known), U)
+        key[which] = keys
+        texts = list(known)
+        order = np.argsort(key, kind="stable")
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))[order] + 1
+        first = np.flatnonzero(np.concatenate(([True], key[order][1:] != key[order][:-1])))  # windows of different keys differ
+        ends, cuts, at = np.append(np.cumsum(sizes), 0)[np.append(first[1:], len(order)) - 1], [], 0
+        while at < len(first):
+            begin = ends[at - 1] if at else 0
+            at = max(at + 1, int(np.searchsorted(ends, begin + TRANSFORM_BYTES, "right")))
+            cuts.append(int(first[at]) if at < len(first) else len(order))
+        found, windows = [], np.maximum(0, sizes - length)
+        for a, b in zip([0, *cuts], cuts):
+            found.append(_earliest([texts[i] for i in order[a:b].tolist()], least[order[a:b]], length)[0])
+        found = np.concatenate(found)
+        begin = np.cumsum(windows) - windows
+        new = np.concatenate(([True], found[1:] != found[:-1]))
+        new[begin] = True
+        run = np.flatnonzero(new)
+        owner = np.searchsorted(begin, run, "right") - 1
+        runs = np.bincount(owner, minlength=len(order))
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        which = back[which]
+        return [C.Ragged(runs, (run - begin[owner]).astype(np.uint8)).take(which), C.Ragged(runs, found[run]).take(which), windows[which].astype(np.uint8)]
+
+    return answer
+
+
+def removals(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, kept: bool = False) -> DataFrame:
+    """A row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256; with kept, the document's own row, with n_removed as
+    the struct column `row` and the remaining bytes as the binary column `kept` beside it."""
     if length <= ANCHOR:
         raise ValueError(f"length must be over {ANCHOR}")
-    source = C.Corpus.of(docs, id_col, text_col)
+    source = C.Corpus.of(docs, id_col, text_col, keep=kept)
     n = source.n
 
     def emit_blocks(chunk, _):
-        keys, columns, _ = _Pieces(chunk, length).distinct()
+        keys, *columns = _Text(chunk, length).blocks()
         return keys, columns
 
     def answer_blocks(_, keys, columns):
-        order = np.lexsort((columns[1], columns[0], keys))
-        k1, k2, d = keys[order], columns[0][order], columns[1][order]
+        low, ids, wide, least, places = columns
+        order = np.lexsort((ids, low, keys))
+        k1, k2 = keys[order], low[order]
         new = np.concatenate(([True], (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])))
-        owner = np.empty_like(d)
-        owner[order] = d[new][np.cumsum(new) - 1]
-        return [owner]
+        owner = np.empty_like(ids)
+        owner[order] = ids[order][new][np.cumsum(new) - 1]
+        skip = np.where(owner == ids, least, 0).astype(np.uint32)  # places of the first document that has it
+        return places.sizes > skip, [wide, skip, places]
 
     def emit_anchors(chunk, answers):
-        p = _Pieces(chunk, length)
-        keys, columns, _ = p.anchors(p.segments(p.original(answers, n)))
-        return keys, columns
+        place, wide, anchor = _Text(chunk, length).segments(_gone(answers))
+        return anchor, [place.astype(np.uint32), wide.astype(np.uint8)]
 
     def answer_anchors(_, keys, columns):
-        found, place, count = np.unique(keys, return_inverse=True, return_counts=True)
-        several = np.zeros(len(found), bool)
-        several[place[columns[0] > 0]] = True
-        state = ((count > 1) | several).astype(np.uint8)
-        state[count > hot_chunks] = 2
-        return [state[place]]
-
-    def known(p, answers):
-        segments = p.segments(p.original(answers, n))
-        keys, _, place = p.anchors(segments)
-        state = C.answered(answers, "anchors", keys, n)[0] if len(keys) else np.zeros(0, np.uint8)
-        return p.contents(segments, state, place)
+        order = np.argsort(keys, kind="stable")
+        first = np.flatnonzero(np.concatenate(([True], keys[order][1:] != keys[order][:-1])))
+        count = np.empty(len(keys), np.int64)
+        count[order] = np.repeat(np.diff(np.append(first, len(keys))), np.diff(np.append(first, len(keys))))
+        return count > 1, [keys, *columns, (count > hot).astype(np.uint8)]
 
     def emit_contents(chunk, answers):
-        keys, texts, ids, _ = known(_Pieces(chunk, length), answers)
-        return keys, [texts, ids]
-
-    def answer_contents(_, keys, columns):
-        texts, ids = C.strings(columns[0], columns[1]), columns[2]
-        least: dict = {}
-        for t, d, k in zip(texts, ids.tolist(), keys.tolist()):
-            if t not in least:
-                least[t] = (k, d)
-            elif d < least[t][1]:
-                least[t] = (k, d)
-        items = sorted(least.items(), key=lambda x: x[1][0])
-        result: dict = {}
-        i = 0
-        while i < len(items):  # windows of different keys differ
-            j, size = i, 0
-            while j < len(items) and (size < TRANSFORM_BYTES or items[j][1][0] == items[j - 1][1][0]):
-                size += len(items[j][0]) + 1
-                j += 1
-            part = [t for t, _ in items[i:j]]
-            for t, found in zip(part, earliest(part, np.array([d for _, (_, d) in items[i:j]], np.int64), length)):
-                new = np.flatnonzero(np.concatenate(([True], found[1:] != found[:-1])))
-                result[t] = new.astype(np.uint8).tobytes() + found[new].tobytes()
-            i = j
-        return [[result[t] for t in texts]]
+        keys, texts, ids, _, _ = _Text(chunk, length).contents(C.collected(answers, "anchors"))
+        return keys, [C.Ragged.of(texts), ids]
 
     def finish(_, chunk, answers):
-        p = _Pieces(chunk, length)
-        original = p.original(answers, n)
-        marks: dict[int, list] = {}
-        for (d, s, e), ok in zip(p.blocks, original.tolist()):
-            if not ok:
-                marks.setdefault(d, []).append((s, e))
-        keys, texts, _, uses = known(p, answers)
-        found = C.answered(answers, "contents", keys, n)[0] if len(keys) else []
-        for d, a, at in uses:
-            runs = len(found[at]) // 9
-            starts = [*found[at][:runs], len(texts[at]) - length + 1]
-            for s, e, doc in zip(starts, starts[1:], np.frombuffer(found[at][runs:], np.int64).tolist()):
-                if doc < chunk.ids[d]:
-                    marks.setdefault(d, []).append((a + s, a + e))
-        out = {k: [] for k in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text_sha256", "kept")}
-        for d, t in enumerate(chunk.texts):
-            kept, spans = [], []
-            for s, e in sorted(marks.get(d, ())):
-                if spans and s <= spans[-1][1]:
-                    spans[-1][1] = max(spans[-1][1], e + length - 1)
-                else:
-                    spans.append([s, e + length - 1])
-            at = 0
-            for s, e in spans:
-                kept.append(t[at:s])
-                at = e
-            rest = b"".join([*kept, t[at:]])
-            i = int(chunk.ids[d])
-            for k, v in zip(out, (None if i == C.NULL_ID else i, len(t), len(t) - len(rest), len(spans), hashlib.sha256(rest).hexdigest(), hashlib.sha256(t).hexdigest(), rest)):
-                out[k].append(v)
-        return pa.table({k: pa.array(v, {"kept_sha256": pa.string(), "text_sha256": pa.string(), "kept": pa.binary()}.get(k, pa.int64())) for k, v in out.items()})
-
-    prior = source.exchange("blocks", emit_blocks, answer_blocks)
-    prior = source.exchange("anchors", emit_anchors, answer_anchors, prior)
-    prior = source.exchange("contents", emit_contents, answer_contents, prior)
-    return source.each(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text_sha256 string, kept binary", prior)
+        text = _Text(chunk, length)
+        edge = np.zeros(len(text.buf) + 1, np.int32)
+        place, wide = _gone(answers)
+        np.add.at(edge, place, 1)
+        np.add.at(edge, place + wide + length - 1, -1)
+        keys, _, _, place, which = text.contents(C.collected(answers, "anchors"))
+        if len(keys):
+            starts, docs, windows = C.answered(answers, "contents", keys, n)
+            starts, docs, windows = starts.take(which), docs.take(which), windows[which].astype(np.int64)
+            use = np.repeat(np.arange(len(which)), starts.sizes)
+            start = starts.flat.astype(np.int64)
+            end = np.append(start[1:], 0)
+            last = np.cumsum(starts.sizes) - 1
+            end[last] = windows
+            gone = docs.flat < text.ids_at(place)[use]
+            at = place[use[gone]]
+            np.add.at(edge, at + start[gone], 1)
+            np.add.at(edge, at + end[gone] + length - 1, -1)
+        gone = np.cumsum(edge[:-1], dtype=np.int32) > 0
+        del edge
+        # spans begin where a covered byte follows one that is not, or another document's
+        begin = gone.copy()
+        begin[1:] &= ~gone[:-1]
+        some = text.begins[text.begins < len(gone)]
+        begin[some] = gone[some]
+
+        def total(x):
+            sums = np.zeros(len(x) + 1, np.int32)
+            np.cumsum(x, dtype=np.int32, out=sums[1:])
+            return (sums[text.ends] - sums[text.begins]).astype(np.int64)
+
+        removed, spans = total(gone), total(begin)
+        rest = text.buf[~gone].tobytes()
+        ends = np.cumsum(text.ends - text.begins - removed).tolist()
+        rest = [rest[a:b] for a, b in zip([0, *ends], ends)]
+        if kept:
+            every = np.ones(len(rest), bool)
+            return pa.table(chunk.whole_rows(chunk.texts, every) | {"n_removed": removed, "kept": pa.array(rest, pa.binary())})
+        ids = pa.array([None if i == C.NULL_ID else i for i in chunk.ids.tolist()], pa.int64())
+        return pa.table({"doc_id": ids, "n_bytes": text.ends - text.begins, "n_removed": removed, "n_spans": spans, "kept_sha256": pa.array([hashlib.sha256(t).hexdigest() for t in rest], pa.string())})
+
+    blocks = source.exchange("blocks", emit_blocks, answer_blocks)
+    anchors = source.exchange("anchors", emit_anchors, answer_anchors, blocks, short=True)
+    contents = source.exchange("contents", emit_contents, answer_contents(length), anchors)
+    answers = C.together(blocks, anchors, contents)
+    if not kept:
+        return source.each(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", answers)
+    rows = source.each(finish, source.whole_schema("n_removed long, kept binary"), answers)
+    return rows.select(F.struct(*source.whole(rows, docs.columns, text_col)).alias("row"), "n_removed", "kept")
