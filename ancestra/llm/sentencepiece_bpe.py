@@ -10,12 +10,14 @@ the rest is known to fail, so each is tried once. Runs of spaces, in which piece
 Texts are cut where no piece of the vocabulary reaches across (before a space, around characters that are in no
 longer piece), and cut pieces that a worker has seen are looked up (tokens.Pieces).
 
-Null texts are empty and have no ids. Rows that repeat an id keep a row each; other columns are ignored.
+Null texts are empty and have no ids. Rows that repeat an id keep a row each; other columns are ignored. The work grows
+with the length of a text (runs of spaces: with a heap's logarithm more). An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 
 import ahocorasick
 import numpy as np
@@ -55,18 +57,35 @@ class MergeEncoder:
         self.marks = {m for m in ".,;:!?" if not any(j[1] == m and (j[0].isalnum()) for j in joint)}
 
     def merge(self, text: str) -> list[str]:
-        """The model's own rule: the best-scored joint piece first, the leftmost of equals."""
-        parts = list(text)
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                s = self.score.get(parts[i] + parts[i + 1])
-                if s is not None and (best is None or s > best):
-                    best, at = s, i
-            if at < 0:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
+        """The model's own rule: the best-scored joint piece first, the leftmost of equals; a heap has the neighbours that join."""
+        n = len(text)
+        end, before = list(range(1, n + 1)), list(range(-1, n - 1))  # of the part that begins at a place
+        heap: list[tuple[float, int, int, int]] = []
+
+        def offer(a: int) -> None:
+            b = end[a]
+            if b < n:
+                s = self.score.get(text[a : end[b]])
+                if s is not None:
+                    heapq.heappush(heap, (-s, a, b, end[b]))
+
+        for i in range(n - 1):
+            offer(i)
+        while heap:
+            _, a, b, c = heapq.heappop(heap)
+            if end[a] != b or end[b] != c:
+                continue  # one of the two has been joined to another
+            end[a], end[b] = c, -1
+            if c < n:
+                before[c] = a
+                offer(a)
+            if before[a] >= 0:
+                offer(before[a])
+        out, a = [], 0
+        while a < n:
+            out.append(text[a : end[a]])
+            a = end[a]
+        return out
 
     def fits(self, a: str, b: str) -> bool:
         key = (a, b)
@@ -86,7 +105,7 @@ class MergeEncoder:
         for x in at:
             if len(x) > 2:
                 x.sort(key=len)
-        failed = 0  # bit i: nothing fits from place i on
+        failed = bytearray(n // 8 + 1)  # bit i: nothing fits from place i on
         out: list[str] = []
         choice: list[int] = []
         pos, k = 0, len(at[0]) - 1 if n else -1
@@ -95,7 +114,7 @@ class MergeEncoder:
             while k >= 0:
                 p = at[pos][k]
                 end = pos + len(p)
-                if not failed >> end & 1 and (last is None or self.fits(last, p)):
+                if not failed[end >> 3] >> (end & 7) & 1 and (last is None or self.fits(last, p)):
                     break
                 k -= 1
             if k >= 0:
@@ -104,7 +123,7 @@ class MergeEncoder:
                 pos = end
                 k = len(at[pos]) - 1 if pos < n else 0
             else:
-                failed |= 1 << pos
+                failed[pos >> 3] |= 1 << (pos & 7)
                 if not out:
                     return self.merge(text)  # cannot be: the merged pieces fit
                 pos -= len(out.pop())

@@ -7,7 +7,8 @@ it, a prefix sum. Documents are in ascending id order, by range partitioning. Pa
 name and renamed, so a repeated task leaves a whole file.
 
 Null texts are empty documents (the end id alone); null ids come first and come back null; rows that repeat an
-id keep their own entries, in the order of their texts. An empty table gives a manifest without parts. Other columns are ignored.
+id keep their own entries, in the order of a hash of their texts, by which very many of them are dealt to several parts.
+An empty table gives a manifest without parts. Other columns are ignored. A worker holds one whole text at least.
 """
 
 from __future__ import annotations
@@ -28,20 +29,25 @@ from ancestra.llm import corpus as C
 from ancestra.llm import tokens
 
 
+#: Text bytes of a part, about.
+PART_BYTES = 128 << 20
+
+
 def _store(folder: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(folder) if ":" in folder.split("/")[0] else (fs.LocalFileSystem(), folder)
 
 
-def write(docs: DataFrame, folder: str, tokenizer: str = "byte_bpe_50k.json", end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> dict:
-    """Writes the file set and returns its manifest. tokenizer: a file of tokenizers known to public_path()."""
+def write(docs: DataFrame, folder: str, tokenizer: str = "byte_bpe_50k.json", end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", part_bytes: int = PART_BYTES) -> dict:
+    """Writes the file set and returns its manifest. tokenizer: a file of tokenizers known to public_path(); part_bytes: text bytes of a part, about."""
     spark = docs.sparkSession
     C.ship(spark)
     from tokenizers import Tokenizer
 
     size = Tokenizer.from_file(tokens.public_path(tokenizer)).get_vocab_size()
     dtype = "<u2" if max(size - 1, end_id) < 1 << 16 else "<u4"
-    rows = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(C.NULL_ID)).alias("i"), F.coalesce(docs[text_col], F.lit("")).alias("t"))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(C.NULL_ID)).alias("i"), F.coalesce(docs[text_col], F.lit("")).alias("t"), F.xxhash64(docs[text_col]).alias("h"))
+    size = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // part_bytes))
     store, base = _store(folder)
     store.create_dir(base)
 
@@ -77,7 +83,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str = "byte_bpe_50k.json", en
             store.move(f"{trial}.{kind}", f"{name}.{kind}")
         yield pa.record_batch({"part": pa.array([part], pa.int32()), "documents": pa.array([len(ids)], pa.int64()), "ids": pa.array([total], pa.int64())})
 
-    done = rows.repartitionByRange(n, "i").sortWithinPartitions("i", "t").mapInArrow(save, "part int, documents long, ids long")
+    done = rows.repartitionByRange(n, "i", "h").sortWithinPartitions("i", "h", "t").mapInArrow(save, "part int, documents long, ids long")
     parts = sorted((r.part, r.documents, r.ids) for r in done.collect())  # one row a partition
     bases = np.cumsum([0, *(p[2] for p in parts)]).tolist()
     manifest = {"dtype": dtype, "parts": [{"part": p, "documents": d, "ids": k, "base": b} for (p, d, k), b in zip(parts, bases)]}

@@ -2,7 +2,8 @@
 
 A piece is what a tokenizer never joins to its neighbours: here a word with the space before it, the mark
 behind it, or a run of white space. Texts are cut into pieces with vector operations, pieces are looked up by
-64-bit hash in a table that a worker keeps, and only new ones go through the tokenizer: most pieces come again.
+two independent 64-bit hashes in a table that a worker keeps, and only new ones go through the tokenizer: most pieces
+come again. The table starts anew when it has MOST pieces or its values take MOST_BYTES; a very long piece is one entry.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from ancestra.llm import corpus as C
 
 U = np.uint64
 #: Slots of the table, and pieces in it at most; then it starts anew.
-SLOTS, MOST = 1 << 22, 1_600_000
+SLOTS, MOST, MOST_BYTES = 1 << 22, 1_600_000, 256 << 20
 #: White space beyond [\x20\x09-\x0D]: such texts go through the tokenizer whole.
 _RARE = re.compile(rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 _MARK = np.isin(np.arange(256), list(b".,;:!?"))
@@ -56,30 +57,30 @@ class Pieces:
         self.clear()
 
     def clear(self):
-        self.keys, self.slot = np.zeros(SLOTS, U), np.zeros(SLOTS, np.int32)
+        self.keys, self.checks, self.slot = np.zeros(SLOTS, U), np.zeros(SLOTS, U), np.zeros(SLOTS, np.int32)
         self.pools = [Pool(d) for d in self.dtypes]
 
-    def find(self, h: np.ndarray) -> np.ndarray:
+    def find(self, h: np.ndarray, check: np.ndarray) -> np.ndarray:
         """Entries, or -1."""
         out = np.full(len(h), -1, np.int32)
         at = (h & U(SLOTS - 1)).astype(np.int64)
         rest = np.arange(len(h))
         while len(rest):
             got = self.keys[at]
-            hit = got == h[rest]
+            hit = (got == h[rest]) & (self.checks[at] == check[rest])
             out[rest[hit]] = self.slot[at[hit]]
             more = ~hit & (got != 0)
             rest, at = rest[more], (at[more] + 1) & (SLOTS - 1)
         return out
 
-    def insert(self, h: np.ndarray, first: int) -> None:
+    def insert(self, h: np.ndarray, check: np.ndarray, first: int) -> None:
         at = (h & U(SLOTS - 1)).astype(np.int64)
         rest = np.arange(len(h))
         while len(rest):
             free = np.flatnonzero(self.keys[at] == 0)
             _, one = np.unique(at[free], return_index=True)
             won = free[one]
-            self.keys[at[won]] = h[rest[won]]
+            self.keys[at[won]], self.checks[at[won]] = h[rest[won]], check[rest[won]]
             self.slot[at[won]] = first + rest[won]
             left = np.ones(len(rest), bool)
             left[won] = False
@@ -88,21 +89,22 @@ class Pieces:
 
     def look_up(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The entry of each piece buf[start:end]; new pieces are encoded."""
-        if self.pools[0].count > MOST:
+        if self.pools[0].count > MOST or sum(p.data.nbytes for p in self.pools) > MOST_BYTES:
             self.clear()
-        h = C.span_hashes(buf, starts, ends) | U(1)
-        index = self.find(h)
+        h, check = C.span_hashes(buf, starts, ends) | U(1), C.span_hashes(buf, starts, ends, 1)
+        index = self.find(h, check)
         missed = np.flatnonzero(index < 0)
         if len(missed):
-            new, at = np.unique(h[missed], return_index=True)
-            where = missed[at]
+            order = missed[np.lexsort((check[missed], h[missed]))]
+            new = np.concatenate(([True], (h[order][1:] != h[order][:-1]) | (check[order][1:] != check[order][:-1])))
+            where = order[new]
             data = buf.tobytes()
             strings = [data[a:b] for a, b in zip(starts[where].tolist(), ends[where].tolist())]
             first = self.pools[0].count
             for pool, (sizes, flat) in zip(self.pools, self.encode(strings)):
                 pool.add(sizes, flat)
-            self.insert(new, first)
-            index[missed] = first + np.searchsorted(new, h[missed])
+            self.insert(h[where], check[where], first)
+            index[order] = first + np.cumsum(new) - 1
         return index
 
 
