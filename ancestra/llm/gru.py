@@ -10,7 +10,9 @@ from dataclasses import dataclass
 
 import numpy as np
 
-EMBED, HIDDEN, WINDOW, LANES = 16, 24, 32, 64
+EMBED, HIDDEN, WINDOW = 16, 24, 24
+#: Texts that are read side by side: as many as leave UPDATES steps of the optimiser, within these bounds.
+LEAST_LANES, MOST_LANES, UPDATES = 8, 256, 200
 
 
 @dataclass(frozen=True)
@@ -38,9 +40,15 @@ class Shape:
         return np.concatenate((np.repeat(np.arange(len(sizes)), sizes), len(sizes) + np.arange(self.n_open)))
 
 
-def initial(shape: Shape, seed: int = 1) -> np.ndarray:
+def initial(shape: Shape, counts: np.ndarray, seed: int = 1) -> np.ndarray:
+    """Small random weights, and biases by which the model gives each symbol (of `counts`) its share, whatever came before."""
     rng = np.random.default_rng(seed)
-    return np.concatenate([(rng.standard_normal(s) * (0.1 if k == "e" else 1 / np.sqrt(s[0])) if len(s) == 2 else np.zeros(s)).ravel() for k, s in shape.parts().items()]).astype(np.float32)
+    p = {k: rng.standard_normal(s) * (0.1 if k == "e" else 0.1 / np.sqrt(s[0]) if k in ("oc", "ow") else 1 / np.sqrt(s[0])) if len(s) == 2 else np.zeros(s) for k, s in shape.parts().items()}
+    class_of = shape.class_of()
+    of_class = np.bincount(class_of, counts + 0.5, shape.classes)
+    p["bc"] = np.log(of_class / of_class.sum())
+    p["bw"] = np.log((counts + 0.5) / of_class[class_of])[: shape.words]
+    return np.concatenate([x.ravel() for x in p.values()]).astype(np.float32)
 
 
 def views(shape: Shape, flat: np.ndarray) -> dict[str, np.ndarray]:
@@ -155,61 +163,81 @@ def score(shape: Shape, flat: np.ndarray, symbols: np.ndarray, starts: np.ndarra
     return out
 
 
+def gradient(shape: Shape, flat: np.ndarray, h: np.ndarray, source: np.ndarray, target: np.ndarray, real: np.ndarray, begin: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Of a window [steps, lanes] that starts with state h: mean negative log-likelihood of the real targets, its gradient
+    (none goes back beyond the window), and the state after it."""
+    p, hid, (size, n) = views(shape, flat), HIDDEN, source.shape
+    table = p["e"] @ p["w"] + p["b"]
+    go = (~begin).astype(flat.dtype)[:, :, None]
+    x = table[source]
+    before, zr, un, new, hs = (np.empty((size, n, k * hid), flat.dtype) for k in (1, 2, 1, 1, 1))
+    for t in range(size):
+        h = h * go[t]
+        u = h @ p["u"]
+        g = _sigmoid(x[t, :, : 2 * hid] + u[:, : 2 * hid])
+        before[t], zr[t], un[t] = h, g, u[:, 2 * hid :]
+        new[t] = np.tanh(x[t, :, 2 * hid :] + g[:, hid:] * un[t])
+        h = hs[t] = new[t] + g[:, :hid] * (h - new[t])
+    out = np.zeros_like(flat)
+    back = views(shape, out)
+    real = np.flatnonzero(real.ravel())
+    found, dh_real = _outputs(p, shape, hs.reshape(-1, hid)[real], target.ravel()[real], shape.class_of(), back)
+    dhs = np.zeros((size * n, hid), flat.dtype)
+    dhs[real] = dh_real
+    dhs = dhs.reshape(size, n, hid)
+    # what doesn't depend on the way back is worked out for all steps at once
+    z, r = zr[:, :, :hid], zr[:, :, hid:]
+    by_new = (1 - z) * (1 - new * new)
+    by_z = (before - new) * z * (1 - z)
+    by_r = un * r * (1 - r)
+    dx = np.empty((size, n, 3 * hid), flat.dtype)
+    du = np.empty_like(dx)
+    ut = np.ascontiguousarray(p["u"].T)
+    dh = np.zeros((n, hid), flat.dtype)
+    for t in reversed(range(size)):
+        dh += dhs[t]
+        dn = dh * by_new[t]
+        dx[t, :, :hid] = dh * by_z[t]
+        dx[t, :, hid : 2 * hid] = dn * by_r[t]
+        dx[t, :, 2 * hid :] = dn
+        du[t, :, : 2 * hid] = dx[t, :, : 2 * hid]
+        du[t, :, 2 * hid :] = dn * r[t]
+        dh = (dh * z[t] + du[t] @ ut) * go[t]
+    back["u"] += before.reshape(-1, hid).T @ du.reshape(-1, 3 * hid)
+    flow = dx.reshape(-1, 3 * hid)
+    back["b"] += flow.sum(0)
+    order = np.argsort(source.ravel(), kind="stable")
+    own = source.ravel()[order]
+    first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+    by_symbol, symbols = np.add.reduceat(flow[order], first), own[first]
+    back["w"] += p["e"][symbols].T @ by_symbol
+    back["e"][symbols] += by_symbol @ p["w"].T
+    return -float(found.mean()), out, h
+
+
 def train(shape: Shape, flat: np.ndarray, symbols: np.ndarray, starts: np.ndarray, rate: float, passes: int = 1) -> np.ndarray:
     """Parameters after truncated backpropagation through windows of WINDOW steps, the state carried on; Adam."""
     flat = flat.copy()
     if len(starts) < 2:
         return flat
-    p, class_of, hid = views(shape, flat), shape.class_of(), HIDDEN
-    source, target, text, begin = streams(symbols, starts, LANES, shape.end)
+    lanes_ = min(MOST_LANES, max(LEAST_LANES, len(symbols) // (WINDOW * UPDATES)))
+    source, target, text, begin = streams(symbols, starts, lanes_, shape.end)
     steps, n = source.shape
     m, v, round_ = np.zeros_like(flat), np.zeros_like(flat), 0
     for _ in range(passes):
-        h = np.zeros((n, hid), np.float32)
+        h = np.zeros((n, HIDDEN), flat.dtype)
         for s in range(0, steps, WINDOW):
-            size = min(WINDOW, steps - s)
-            real = np.flatnonzero(text[s : s + size].ravel() >= 0)
-            if not len(real):
+            w = slice(s, s + WINDOW)
+            real = text[w] >= 0
+            if not real.any():
                 continue
-            kept = []
-            hs = np.empty((size, n, hid), np.float32)
-            for t in range(size):
-                h = h * ~begin[s + t][:, None]
-                e = p["e"][source[s + t]]
-                x, u = e @ p["w"] + p["b"], h @ p["u"]
-                g = _sigmoid(x[:, : 2 * hid] + u[:, : 2 * hid])
-                un = u[:, 2 * hid :]
-                new = np.tanh(x[:, 2 * hid :] + g[:, hid:] * un)
-                kept.append((h, e, g, un, new))
-                h = new + g[:, :hid] * (h - new)
-                hs[t] = h
-            gradient = np.zeros_like(flat)
-            back = views(shape, gradient)
-            _, dh_real = _outputs(p, shape, hs.reshape(-1, hid)[real], target[s : s + size].ravel()[real], class_of, back)
-            dhs = np.zeros((size * n, hid), np.float32)
-            dhs[real] = dh_real
-            dhs = dhs.reshape(size, n, hid)
-            dh = np.zeros((n, hid), np.float32)
-            for t in reversed(range(size)):
-                before, e, g, un, new = kept[t]
-                z, r = g[:, :hid], g[:, hid:]
-                dh = dh + dhs[t]
-                dn = dh * (1 - z) * (1 - new * new)
-                dz = dh * (before - new) * z * (1 - z)
-                dr = dn * un * r * (1 - r)
-                dx = np.concatenate((dz, dr, dn), 1)
-                du = np.concatenate((dz, dr, dn * r), 1)
-                back["b"] += dx.sum(0)
-                back["w"] += e.T @ dx
-                back["u"] += before.T @ du
-                np.add.at(back["e"], source[s + t], dx @ p["w"].T)
-                dh = (dh * z + du @ p["u"].T) * ~begin[s + t][:, None]
-            norm = np.sqrt((gradient * gradient).sum())
+            _, found, h = gradient(shape, flat, h, source[w], target[w], real, begin[w])
+            norm = np.sqrt((found * found).sum())
             if norm > 1:
-                gradient /= norm
+                found /= norm
             round_ += 1
-            m += 0.1 * (gradient - m)
-            v += 0.005 * (gradient * gradient - v)
+            m += 0.1 * (found - m)
+            v += 0.005 * (found * found - v)
             # windows in which few lanes still have text count for as little
-            flat -= rate * len(real) / (size * n) * (m / (1 - 0.9**round_)) / (np.sqrt(v / (1 - 0.995**round_)) + 1e-7)
+            flat -= rate * real.mean(dtype=np.float32) * (m / (1 - 0.9**round_)) / (np.sqrt(v / (1 - 0.995**round_)) + 1e-7)
     return flat

@@ -2,13 +2,15 @@
 
 Token counts are gathered from all training documents. The most frequent tokens are the model's vocabulary, in
 classes of about equal share; a token outside it belongs to an open class by its last two bytes, in which its
-probability is its smoothed share of the class's training tokens. The recurrent model (gru.py) starts on a bounded
-sample (`sample` training tokens at most, of up to 64 chunks); then every chunk goes on from there with truncated
-backpropagation over all of its training documents, and the chunks' parameters are averaged, weighted by tokens. So both the counts and the training grow with the input.
-
-A-Z are lower-cased; tokens are the words [^\\x20\\x09-\\x0D]+ and one end per document. Null and empty texts have
-the end alone. Rows with a null id are never held out. Rows that repeat an
-id are scored each. An empty table gives no rows.
+probability is its smoothed share of the class's training tokens. The recurrent model (gru.py) starts as the unigram
+model of these counts. The training documents of each chunk are dealt into `rounds` parts; in each round every chunk
+goes on from the common parameters with truncated backpropagation over all of its part, and the chunks' parameters
+are averaged, weighted by tokens. So both the counts and the training cover all training documents at every size.
+
+A-Z are lower-cased; tokens are the words [^\\x20\\x09-\\x0D]+ and one end per document; they are told apart by 64-bit
+hashes. Null and empty texts have the end alone. Rows with a null id are never held out. Rows that repeat an
+id are scored each. An empty table gives no rows. A very long text is one stream, of which the state goes on to its
+end; a worker holds the tokens of a chunk. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,13 +20,15 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ancestra.llm import corpus as C
 from ancestra.llm import gru
 
 U = np.uint64
 VOCABULARY, WORD_CLASSES, OPEN = 2000, 32, 32
-SAMPLE, PASSES, RATE, LATER_RATE = 200_000, 4, 8e-3, 1e-3
+#: Parts of a chunk's training documents, with an average after each, and the rate of the optimiser in each.
+ROUNDS, RATES = 3, (8e-3, 4e-3, 2e-3)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _END = U(0xE0D)
@@ -51,7 +55,6 @@ class _Tokens:
         self.n = n
         crc = np.array([0 if i == C.NULL_ID else zlib.crc32(str(i).encode()) for i in chunk.ids.tolist()], np.int64)
         self.held = (crc % folds == 1) if len(crc) else np.zeros(0, bool)
-        self.picked = C.mix(chunk.ids.view(U) + U(77))
 
     def distinct(self):
         """Distinct hashes, training counts and open classes, and the place of each token among them."""
@@ -59,15 +62,6 @@ class _Tokens:
         training = np.repeat(~self.held, self.n)
         return keys, np.bincount(place[training], minlength=len(keys)).astype(np.int64), self.open[first], place
 
-    def texts(self, which: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Symbols of some documents, end to end, and their starts."""
-        keep = np.repeat(which, self.n)
-        return symbols[keep], np.concatenate(([0], np.cumsum(self.n[which])))
-
-    def training(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Symbols of all training documents, and their starts."""
-        return self.texts(~self.held, symbols)
-
 
 class _Vocabulary:
     def __init__(self, keys: np.ndarray, counts: np.ndarray, bounds: tuple[int, ...]):
@@ -88,21 +82,34 @@ def _classes(counts: np.ndarray, n: int) -> tuple[int, ...]:
     return tuple(sorted({0, *(at + 1).tolist(), len(counts)} - {len(counts) + 1}))
 
 
-def _fitting(order: np.ndarray, n: np.ndarray, room: int) -> list[int]:
-    """Documents, in order, that fit into so many tokens; one too long is skipped."""
-    out = []
-    for d in order.tolist():
-        if n[d] <= room:
-            out.append(d)
-            room -= int(n[d])
-    return out
+class _Read:
+    """Documents of a chunk as symbols of the model, with what counts alone tell of them."""
+
+    def __init__(self, ids, held, n, known, base, inside, symbols):
+        self.ids, self.held, self.n, self.known, self.base, self.inside, self.symbols = ids, held, n, known, base, inside, symbols
+        self.starts = np.concatenate(([0], np.cumsum(n)))
+
+    @staticmethod
+    def of(table: pa.Table) -> _Read:
+        return _Read(*C.from_blob(table.column("blob")[0].as_py()))
+
+    def part(self, k: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols of every so-manieth training document, end to end, and their starts."""
+        training = np.flatnonzero(self.held == 0)
+        which = np.zeros(len(self.n), bool)
+        which[training[k::parts]] = True
+        return self.symbols[np.repeat(which, self.n)].astype(np.int32), np.concatenate(([0], np.cumsum(self.n[which])))
+
+
+def _average(parts: list[tuple[int, np.ndarray]]) -> tuple[int, np.ndarray]:
+    total = sum(w for w, _ in parts)
+    return total, (sum(w * x.astype(np.float64) for w, x in parts) / total).astype(np.float32)
 
 
-def scores(docs: DataFrame, folds: int = 5, vocabulary: int = VOCABULARY, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scores(docs: DataFrame, folds: int = 5, vocabulary: int = VOCABULARY, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10)."""
     source = C.Corpus.of(docs, id_col, text_col)
     n = source.n
-    top = 4 * vocabulary // n + 32  # of a bucket: the hash deals frequent tokens out evenly
 
     def emit(chunk, _):
         keys, counts, opens, _ = _Tokens(chunk, folds).distinct()
@@ -117,68 +124,45 @@ def scores(docs: DataFrame, folds: int = 5, vocabulary: int = VOCABULARY, sample
         return [counts[place]]
 
     def summary(keys, columns):
+        """Of a bucket: its most frequent tokens (as many as the vocabulary has) and the end, tokens and kinds by open class."""
         found, counts, opens, _ = totals(keys, columns)
-        best = np.argsort(-counts, kind="stable")[:top]
+        best = np.argsort(-counts, kind="stable")[:vocabulary]
+        best = np.union1d(best, np.flatnonzero(found == _END))
         seen = counts > 0
-        return C.to_blob(found[best], counts[best], opens[best], np.bincount(opens, counts, OPEN).astype(np.int64), np.bincount(opens[seen], minlength=OPEN).astype(np.int64))
+        return C.to_blob(found[best].view(np.int64), counts[best], opens[best].astype(np.int32), np.bincount(opens, counts, OPEN).astype(np.int64), np.bincount(opens[seen], minlength=OPEN).astype(np.int64))
 
     back, summaries = source.exchange("counts", emit, answer, summary=summary)
-    if not summaries:
+
+    def tokens_of(batches):
+        for b in batches:
+            for x in b.column(0).to_pylist():
+                keys, counts, opens, _, _ = C.from_blob(x)
+                yield pa.record_batch({"key": keys, "n": counts, "open": opens})
+
+    def classes_of(batches):
+        for b in batches:
+            for x in b.column(0).to_pylist():
+                _, _, _, in_class, kinds = C.from_blob(x)
+                yield pa.record_batch({"open": np.arange(OPEN, dtype=np.int32), "n": in_class, "kinds": kinds})
+
+    # the vocabulary's rows, and one for each open class: what reaches the driver doesn't grow with the input
+    end = int(np.array([_END]).view(np.int64)[0])
+    top = summaries.mapInArrow(tokens_of, "key long, n long, open int").orderBy((F.col("key") == end).desc(), F.desc("n"), "key").limit(vocabulary).collect()
+    if not top:
         return docs.sparkSession.createDataFrame([], _SCHEMA)
-    keys, counts, opens = (np.concatenate([s[i] for s in summaries]) for i in range(3))
-    in_class, kinds = (np.sum([s[i] for s in summaries], 0) for i in (3, 4))
+    top.sort(key=lambda r: (-r.n, r.key))
+    top = [r for r in top if r.n > 0 or r.key == end]
+    keys, counts, opens = np.array([r.key for r in top], np.int64).view(U), np.array([r.n for r in top], np.int64), np.array([r.open for r in top])
+    in_class, kinds = np.zeros(OPEN, np.int64), np.zeros(OPEN, np.int64)
+    for r in summaries.mapInArrow(classes_of, "open int, n long, kinds long").groupBy("open").agg(F.sum("n").alias("n"), F.sum("kinds").alias("kinds")).collect():
+        in_class[r.open], kinds[r.open] = r.n, r.kinds
     total, distinct = int(in_class.sum()), int(kinds.sum())
-    best = np.lexsort((keys, -counts))
-    best = best[(counts[best] > 0) | (keys[best] == _END)][:vocabulary]
-    if not (keys[best] == _END).any():
-        best = np.concatenate((best[: vocabulary - 1], np.flatnonzero(keys == _END)[:1]))
-    np.subtract.at(in_class, opens[best], counts[best])
-    np.subtract.at(kinds, opens[best], (counts[best] > 0).astype(np.int64))
-    words = _Vocabulary(keys[best], counts[best], _classes(counts[best] + 1, WORD_CLASSES))
+    np.subtract.at(in_class, opens, counts)
+    np.subtract.at(kinds, opens, (counts > 0).astype(np.int64))
+    words = _Vocabulary(keys, counts, _classes(counts + 1, WORD_CLASSES))
     shape = words.shape
 
-    # a start on a bounded sample
-    some = min(n, 64)
-
-    def draw(number, chunk, _):
-        if number >= some or not len(chunk.ids):
-            return pa.table({"blob": pa.array([], pa.binary())})
-        t = _Tokens(chunk, folds)
-        symbols = words.symbols(t.h, t.open)
-        order = np.argsort(t.picked, kind="stable")
-        order = order[~t.held[order]]
-        which = np.zeros(len(chunk.ids), bool)
-        which[_fitting(order, t.n, sample // some)] = True
-        s, starts = t.texts(which, symbols)
-        return pa.table({"blob": pa.array([C.to_blob(s, starts)], pa.binary())})
-
-    drawn = [C.from_blob(r.blob) for r in source.each(draw, "blob binary").collect()]  # `sample` tokens at most
-    symbols = np.concatenate([d[0] for d in drawn] or [np.zeros(0, np.int32)])
-    lengths = np.concatenate([np.diff(d[1]) for d in drawn] or [np.zeros(0, np.int64)])
-    seed = gru.train(shape, gru.initial(shape), symbols, np.concatenate(([0], np.cumsum(lengths))), RATE, PASSES)
-
-    # every chunk goes on from there; the results are averaged, in two levels
-    slices = 16
-
-    def go_on(number, chunk, _):
-        t = _Tokens(chunk, folds)
-        s, starts = t.training(words.symbols(t.h, t.open))
-        if not len(s):
-            return pa.table({"slice": pa.array([], pa.int32()), "part": pa.array([], pa.int32()), "weight": pa.array([], pa.int64()), "blob": pa.array([], pa.binary())})
-        moved = gru.train(shape, seed, s, starts, LATER_RATE)
-        return pa.table({"slice": pa.array(range(slices), pa.int32()), "part": pa.array([number % 64] * slices, pa.int32()), "weight": pa.array([len(s)] * slices, pa.int64()), "blob": pa.array([C.to_blob(x) for x in np.array_split(moved, slices)], pa.binary())})
-
-    def average(k, t):
-        weight = t.column("weight").to_numpy()
-        mean = sum(w * C.from_blob(b.as_py())[0].astype(np.float64) for w, b in zip(weight.tolist(), t.column("blob"))) / weight.sum()
-        return pa.table({"slice": pa.array([k[0].as_py()], pa.int32()), "part": pa.array([0], pa.int32()), "weight": pa.array([int(weight.sum())], pa.int64()), "blob": pa.array([C.to_blob(mean.astype(np.float32))], pa.binary())})
-
-    schema = "slice int, part int, weight long, blob binary"
-    parts = source.each(go_on, schema).groupBy("slice", "part").applyInArrow(average, schema).groupBy("slice").applyInArrow(average, schema)
-    got = sorted((r.slice, r.blob) for r in parts.collect())  # 16 rows
-    model = np.concatenate([C.from_blob(b)[0] for _, b in got]) if got else seed
-
-    def finish(_, chunk, answers):
+    def read(number, chunk, answers):
         t = _Tokens(chunk, folds)
         keys, _, _, place = t.distinct()
         (c,) = C.answered(answers, "counts", keys, n)
@@ -187,20 +171,49 @@ def scores(docs: DataFrame, folds: int = 5, vocabulary: int = VOCABULARY, sample
         symbols = words.symbols(t.h, t.open)
         inside = np.where(symbols < shape.words, 0.0, np.log10((c + 0.5) / (in_class[t.open] + 0.5 * (kinds[t.open] + 1))))
         base = np.log10((c + 0.5) / (total + 0.5 * (distinct + 1)))
-        found = gru.score(shape, model, symbols, t.starts) / np.log(10) + np.bincount(doc, inside, len(t.n))
+        by_doc = lambda x: np.bincount(doc, x, len(t.n))
+        blob = C.to_blob(chunk.ids, t.held.astype(np.uint8), t.n.astype(np.int64), by_doc(c > 0).astype(np.int64), by_doc(base), by_doc(inside), symbols.astype(np.uint16 if shape.words + OPEN < 1 << 16 else np.int32))
+        return pa.table({"chunk": pa.array([number], pa.int32()), "blob": pa.array([blob], pa.binary())})
+
+    texts = C.Corpus(C.settled(source.each(read, "chunk int, blob binary", back), n, "chunk"), n, _Read.of)
+    slices, groups = 16, max(1, round(n**0.5))
+    schema = "slice int, part int, weight long, blob binary"
+    table = lambda slice_, part, weight, blobs: pa.table({"slice": pa.array(slice_, pa.int32()), "part": pa.array(part, pa.int32()), "weight": pa.array(weight, pa.int64()), "blob": pa.array(blobs, pa.binary())})
+
+    def average(k, t):
+        weight, mean = _average([(w, C.from_blob(b)[0]) for w, b in zip(t.column("weight").to_pylist(), t.column("blob").to_pylist())])
+        return table([k[0].as_py()], [0], [weight], [C.to_blob(mean)])
+
+    model = gru.initial(shape, np.concatenate((counts, in_class)))
+    for k in range(rounds):
+
+        def go_on(number, chunk, _, model=model, k=k):
+            s, starts = chunk.part(k, rounds)
+            if not len(s):
+                return table([], [], [], [])
+            moved = gru.train(shape, model, s, starts, RATES[min(k, len(RATES) - 1)])
+            return table(range(slices), [number % groups] * slices, [len(s)] * slices, [C.to_blob(x) for x in np.array_split(moved, slices)])
+
+        parts = texts.each(go_on, schema).groupBy("slice", "part").applyInArrow(average, schema).groupBy("slice").applyInArrow(average, schema)
+        with C.static_plans(docs.sparkSession):
+            got = sorted((r.slice, r.blob) for r in parts.collect())  # 16 rows
+        model = np.concatenate([C.from_blob(b)[0] for _, b in got]) if got else model
+
+    def finish(_, chunk, __):
+        found = gru.score(shape, model, chunk.symbols.astype(np.int32), chunk.starts) / np.log(10) + chunk.inside
         return pa.table(
             {
                 "doc_id": pa.array([None if i == C.NULL_ID else i for i in chunk.ids.tolist()], pa.int64()),
-                "held_out": t.held,
-                "n_tokens": t.n.astype(np.int64),
-                "n_known": np.bincount(doc, c > 0, len(t.n)).astype(np.int64),
-                "train_tokens": np.full(len(t.n), total, np.int64),
-                "base_score": np.bincount(doc, base, len(t.n)),
+                "held_out": pa.array(chunk.held == 1),
+                "n_tokens": chunk.n,
+                "n_known": chunk.known,
+                "train_tokens": np.full(len(chunk.n), total, np.int64),
+                "base_score": chunk.base,
                 "score": found,
             }
         )
 
-    return source.each(finish, _SCHEMA, back)
+    return texts.each(finish, _SCHEMA)
 
 
 _SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
