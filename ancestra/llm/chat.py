@@ -8,11 +8,15 @@ results it waits for, whatever their turns say. Calls and results are joined by
 earliest call of an identifier counting; a call without an identifier is an event of its own, linked to nothing
 (call_id null, linked false, no id in its json). No conversation is brought together in one place.
 
-json is canonical: keys in alphabetical order, no white space. linked: whether the call has a result, the result a
-call (null for messages). valid: whether the arguments are an object that has what the tool's schema requires, of
-the types it names and nothing else; tools without a schema are not valid; null for other events.
-Null texts are empty; a text that is no such JSON is a plain message; null conversations are one conversation and
-null turns come first; calls that wait for each other get the level -1 and keep their turns. Other columns are ignored.
+json is canonical: keys in alphabetical order, no white space, numbers with the digits they were written with (so none
+overflows or is rounded). linked: whether the call has a result, the result a call (null for messages). valid: whether
+the arguments are an object that has what the tool's schema requires, of the types it names and nothing else; tools
+without a schema are not valid; null for other events.
+Null texts are empty; a text that is not one JSON object and nothing else (also: one in which an object has a key twice)
+is a plain message, and keeps its whole text; keys of messages and calls beyond those above are left out; a call that is
+no object is all arguments. Strings that begin with the private-use character U+E000 stand for numbers inside.
+Null conversations are one conversation and null turns come first; calls that wait for each other get the level -1 and
+keep their turns. Rows that repeat are events each. Very long texts are parsed as one value. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,13 +26,36 @@ from pyspark.sql import functions as F
 
 from ancestra.llm.corpus import settled
 
-_MESSAGE = "content string, tool_call_id string, tool_calls array<struct<id string, name string, arguments variant, after array<string>>>"
-_TYPES = {"string": "^STRING$", "integer": "^BIGINT$", "number": "^(BIGINT|DOUBLE|FLOAT|DECIMAL)", "boolean": "^BOOLEAN$", "array": "^ARRAY", "object": "^OBJECT"}
+#: Stands in front of the digits of a number while JSON is parsed.
+_MARK = "\ue000"
+_NUMBER = r"-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?"
+#: From the end of the number before on: what comes before a number (strings whole), and the number.
+_NUMBERS = r'\G((?:[^"\d-]|"[^"\\]*+(?:\\.[^"\\]*+)*+")*+)(' + _NUMBER + r")(?![0-9.eE+-])"
+_CALL = "array<struct<id:string,name:string,arguments:variant,after:array<string>>>"
 
 #: tool -> argument -> (type, required)
 Schemas = dict[str, dict[str, tuple[str, bool]]]
 
 
+def _parsed(text: Column) -> Column:
+    """The variant of a text that is one JSON value and nothing else, its numbers marked; null for others."""
+    marked = F.regexp_replace(text, F.lit(_NUMBERS), F.lit(f'$1"{_MARK}$2"'))
+    # what follows the value ends the text of one of the two too early
+    inside = F.try_parse_json(F.concat(F.lit('{"v":'), marked, F.lit("}")))
+    return F.when(inside.isNotNull(), F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), marked, F.lit("]"))), "$[0]", "variant"))
+
+
+def _digits(json: Column) -> Column:
+    return F.regexp_replace(json, f'"{_MARK}({_NUMBER})"', "$1")
+
+
+def _string(v: Column, path: str) -> Column:
+    """A string at a path, or the JSON of what is there; null for null."""
+    at = F.try_variant_get(v, path, "variant")
+    text = F.coalesce(F.try_variant_get(v, path, "string"), F.to_json(at))
+    return F.when(F.schema_of_variant(at) != "VOID", F.regexp_replace(text, f"^{_MARK}", ""))
+
+
 def is_valid(name: Column, arguments: Column, schemas: Schemas) -> Column:
     kind = lambda v: F.schema_of_variant(v)
     out = F.lit(False)
@@ -38,8 +65,18 @@ def is_valid(name: Column, arguments: Column, schemas: Schemas) -> Column:
         fine &= F.size(F.array_except(keys, F.array(*map(F.lit, wanted)) if wanted else F.array().cast("array<string>"))) == 0
         for arg, (type_, required) in wanted.items():
             there = F.array_contains(keys, arg)
-            of_type = F.coalesce(kind(F.try_variant_get(arguments, f"$.{arg}", "variant")).rlike(_TYPES[type_]), F.lit(False))
-            fine &= F.when(there, of_type).otherwise(F.lit(not required))
+            value = F.try_variant_get(arguments, f"$.{arg}", "variant")
+            string = F.try_variant_get(arguments, f"$.{arg}", "string")
+            is_string, marked = kind(value) == "STRING", string.startswith(_MARK)
+            of_type = {
+                "string": is_string & ~marked,
+                "integer": is_string & string.rlike(f"^{_MARK}-?[0-9]+$"),
+                "number": is_string & marked,
+                "boolean": kind(value) == "BOOLEAN",
+                "array": kind(value).startswith("ARRAY"),
+                "object": kind(value).startswith("OBJECT"),
+            }[type_]
+            fine &= F.when(there, F.coalesce(of_type, F.lit(False))).otherwise(F.lit(not required))
         out = F.when(name == tool, F.coalesce(fine, F.lit(False))).otherwise(out)
     return out
 
@@ -47,23 +84,29 @@ def is_valid(name: Column, arguments: Column, schemas: Schemas) -> Column:
 def events(messages: DataFrame, schemas: Schemas) -> DataFrame:
     """A row per event: conv_id, turn, step, kind, role, call_id, waits, valid, json."""
     m = messages.select(messages["conv_id"].cast("long"), messages["turn"].cast("long"), messages["role"], F.coalesce(messages["text"], F.lit("")).alias("text"))
-    parsed = F.when(F.col("role").isin("assistant", "tool") & F.col("text").startswith("{"), F.from_json("text", _MESSAGE))
-    m = m.withColumn("p", parsed)
-    calls = F.coalesce(F.when(F.col("role") == "assistant", F.filter("p.tool_calls", lambda c: c.isNotNull())), F.array().cast("array<struct<id:string,name:string,arguments:variant,after:array<string>>>"))
-    result = (F.col("role") == "tool") & F.col("p.tool_call_id").isNotNull()
-    m = m.withColumns({"calls": calls, "result": F.coalesce(result, F.lit(False))})
-    said = F.when(F.col("result") | (F.size("calls") > 0), F.coalesce("p.content", F.lit(""))).otherwise(F.col("text"))
+    m = m.withColumn("v", F.when(F.col("role").isin("assistant", "tool") & F.col("text").startswith("{"), _parsed(F.col("text"))))
+
+    def call(c: Column) -> Column:
+        whole = F.schema_of_variant(c).startswith("OBJECT")
+        after = F.transform(F.try_variant_get(c, "$.after", "array<variant>"), lambda x: _string(x, "$"))
+        return F.struct(_string(c, "$.id").alias("id"), _string(c, "$.name").alias("name"), F.when(whole, F.try_variant_get(c, "$.arguments", "variant")).otherwise(c).alias("arguments"), after.alias("after"))
+
+    calls = F.transform(F.filter(F.try_variant_get("v", "$.tool_calls", "array<variant>"), lambda c: F.schema_of_variant(c) != "VOID"), call)
+    calls = F.coalesce(F.when(F.col("role") == "assistant", calls), F.array().cast(_CALL))
+    m = m.withColumns({"calls": calls, "answers": F.when(F.col("role") == "tool", _string(F.col("v"), "$.tool_call_id")), "content": _string(F.col("v"), "$.content")})
+    m = m.withColumn("result", F.col("answers").isNotNull())
+    said = F.when(F.col("result") | (F.size("calls") > 0), F.coalesce("content", F.lit(""))).otherwise(F.col("text"))
     none = F.lit(None).cast("string")
     own = m.select(
         "conv_id", "turn", F.lit(0).alias("step"), F.when(F.col("result"), "result").otherwise("message").alias("kind"), "role",
-        F.when(F.col("result"), F.col("p.tool_call_id")).alias("call_id"), F.lit(None).cast("array<string>").alias("waits"), F.lit(None).cast("boolean").alias("valid"),
-        F.when(F.col("result"), F.to_json(F.struct(said.alias("content"), F.col("role").alias("role"), F.col("p.tool_call_id").alias("tool_call_id")))).otherwise(F.to_json(F.struct(said.alias("content"), F.col("role").alias("role")))).alias("json"),
+        F.col("answers").alias("call_id"), F.lit(None).cast("array<string>").alias("waits"), F.lit(None).cast("boolean").alias("valid"),
+        F.when(F.col("result"), F.to_json(F.struct(said.alias("content"), F.col("role").alias("role"), F.col("answers").alias("tool_call_id")))).otherwise(F.to_json(F.struct(said.alias("content"), F.col("role").alias("role")))).alias("json"),
     )
     c = m.where(F.size("calls") > 0).select("conv_id", "turn", "role", F.posexplode("calls").alias("k", "c"))
     called = c.select(
         "conv_id", "turn", (F.col("k") + 1).alias("step"), F.lit("call").alias("kind"), "role", F.col("c.id").alias("call_id"), F.col("c.after").alias("waits"),
         is_valid(F.col("c.name"), F.col("c.arguments"), schemas).alias("valid"),
-        F.to_json(F.struct(F.col("c.arguments").alias("arguments"), F.col("c.id").alias("id"), F.col("c.name").alias("name"), F.lit("tool_call").alias("type"))).alias("json"),
+        _digits(F.to_json(F.struct(F.col("c.arguments").alias("arguments"), F.col("c.id").alias("id"), F.col("c.name").alias("name"), F.lit("tool_call").alias("type")))).alias("json"),
     )
     return own.unionByName(called.withColumn("call_id", F.coalesce("call_id", none)))
 

@@ -24,12 +24,43 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.classes(_documents(spark, sf_dir)).select("doc_id", "class_id", "n_links")
 
 
+def with_tool_calls(conversations: DataFrame) -> DataFrame:
+    """All conversations and, as they have no tool calls, a second one for each with calls and results made of its assistant's turns.
+
+    Of turn t: a message with the calls a<t> and b<t>, which waits for a<t> and for b<t - 2>, and in every fifth turn p<t> and
+    q<t>, which wait for each other; a result of a<t>, before the call; one of b<t>, but for every third turn; and a message
+    with text behind its JSON. Some arguments break the schema, have large numbers or unsorted keys.
+    """
+    m = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
+    a = m.where("role = 'assistant' and conv_id is not null and turn is not null").select((-1 - F.col("conv_id")).alias("conv_id"), F.col("turn").alias("t"), F.coalesce("text", F.lit("")).alias("text"))
+    quoted = F.substring_index(F.to_json(F.struct("text")), '{"text":', -1)
+    quoted = F.substring(quoted, F.lit(1), F.length(quoted) - 1)
+    t = F.col("t").cast("string")
+    limit = F.when(F.col("t") % 4 == 3, F.concat(F.lit('"'), t, F.lit('"'))).otherwise(t)
+    call = lambda i, name, arguments, after: F.concat(F.lit('{"name":"' + name + '","id":"' + i), t, F.lit('","arguments":'), arguments, F.lit(',"after":['), after, F.lit("]}"))
+    search = call("a", "search", F.concat(F.lit('{"query":'), quoted, F.lit(', "limit":'), limit, F.lit("}")), F.lit(""))
+    scale = F.when(F.col("t") % 7 == 3, F.lit(',"a scale":[1e400,{"z":123456789012345678901234567890123456789012345,"y":-0.10}]')).otherwise("")
+    sums = call("b", "calculate", F.concat(F.lit('{"expression":"1 + '), t, F.lit('"'), scale, F.lit("}")), F.concat(F.lit('"a'), t, F.lit('","b'), F.col("t") - 2, F.lit('"')))
+    ring = [call(x, "calculate", F.lit('{"expression":2}'), F.concat(F.lit(f'"{y}'), t, F.lit('"'))) for x, y in ("pq", "qp")]
+    calls = F.concat(search, F.lit(","), sums, F.when(F.col("t") % 5 == 0, F.concat(F.lit(","), ring[0], F.lit(","), ring[1])).otherwise(""))
+    said = F.concat(F.lit('{"content":'), quoted, F.lit(',"tool_calls":['), calls, F.lit("]}"))
+    result = lambda i: F.concat(F.lit('{"tool_call_id":"' + i), t, F.lit('","content":'), quoted, F.lit("}"))
+    rows = F.array(
+        F.struct((10 * F.col("t")).alias("turn"), F.lit("assistant").alias("role"), said.alias("text")),
+        F.struct((10 * F.col("t") - 1).alias("turn"), F.lit("tool").alias("role"), result("a").alias("text")),
+        F.struct((10 * F.col("t") + 1).alias("turn"), F.lit("tool").alias("role"), F.when(F.col("t") % 3 != 0, result("b")).alias("text")),
+        F.struct((10 * F.col("t") + 2).alias("turn"), F.lit("assistant").alias("role"), F.concat(said, F.lit(" and more")).alias("text")),
+    )
+    more = a.select("conv_id", F.explode(rows).alias("r")).where("r.text is not null").select("conv_id", "r.*")
+    return m.unionByName(more)
+
+
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.linked(spark.read.parquet(f"{sf_dir}/conversations.parquet"), TOOLS)
+    return chat.linked(with_tool_calls(spark.read.parquet(f"{sf_dir}/conversations.parquet")), TOOLS)
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix.removals(_documents(spark, sf_dir)).drop("text_sha256", "kept")
+    return suffix.removals(_documents(spark, sf_dir))
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,14 +120,53 @@ LEFT JOIN (SELECT a, count(*) AS n_links FROM links GROUP BY 1) k ON k.a = d.doc
 """
 
 _OP2 = r"""
-WITH m AS (
+WITH RECURSIVE m AS (
   SELECT conv_id, turn, role, coalesce(text, '') AS text,
          CASE WHEN role IN ('assistant', 'tool') AND starts_with(coalesce(text, ''), '{') AND json_valid(text) THEN text::JSON END AS p
   FROM conversations
+), a AS (
+  SELECT -1 - conv_id AS conv_id, turn::BIGINT AS t, coalesce(text, '') AS text FROM conversations WHERE role = 'assistant' AND conv_id IS NOT NULL AND turn IS NOT NULL
+), calls AS (
+  SELECT conv_id, 10 * t AS turn, 1 AS step, 'a' || t AS id, []::VARCHAR[] AS waits, t % 4 <> 3 AS valid,
+         '{"arguments":{"limit":' || CASE WHEN t % 4 = 3 THEN '"' || t || '"' ELSE t::VARCHAR END || ',"query":' || to_json(text)::VARCHAR || '},"id":"a' || t || '","name":"search","type":"tool_call"}' AS json FROM a
+  UNION ALL
+  SELECT conv_id, 10 * t, 2, 'b' || t, ['a' || t, 'b' || (t - 2)], t % 7 <> 3,
+         '{"arguments":{' || CASE WHEN t % 7 = 3 THEN '"a scale":[1e400,{"y":-0.10,"z":123456789012345678901234567890123456789012345}],' ELSE '' END
+         || '"expression":"1 + ' || t || '"},"id":"b' || t || '","name":"calculate","type":"tool_call"}' FROM a
+  UNION ALL
+  SELECT conv_id, 10 * t, 3 + k, ['p', 'q'][k + 1] || t, [['q', 'p'][k + 1] || t], FALSE,
+         '{"arguments":{"expression":2},"id":"' || ['p', 'q'][k + 1] || t || '","name":"calculate","type":"tool_call"}' FROM a, (SELECT unnest([0, 1]) AS k) WHERE t % 5 = 0
+), results AS (
+  SELECT conv_id, 10 * t - 1 AS turn, 'a' || t AS id, text FROM a UNION ALL SELECT conv_id, 10 * t + 1, 'b' || t, text FROM a WHERE t % 3 <> 0
+), c AS (
+  SELECT *, (SELECT min(r.turn) FROM results r WHERE r.conv_id = o.conv_id AND r.id = o.id) AS result_turn
+  FROM (SELECT DISTINCT ON (conv_id, id) conv_id, id, turn, waits FROM calls ORDER BY conv_id, id, turn, step) o
+), w AS (
+  SELECT x.conv_id, x.id, x.turn, x.result_turn, x.o FROM (SELECT conv_id, id, turn, result_turn, unnest(waits) AS o FROM c) x JOIN c y ON y.conv_id = x.conv_id AND y.id = x.o
+), path(conv_id, id, turn, result_turn, level) AS (
+  SELECT conv_id, id, turn, result_turn, 0 FROM c WHERE NOT EXISTS (SELECT 1 FROM w WHERE w.conv_id = c.conv_id AND w.id = c.id)
+  UNION SELECT w.conv_id, w.id, greatest(w.turn, p.turn, coalesce(p.result_turn, p.turn)), w.result_turn, p.level + 2 FROM path p JOIN w ON w.conv_id = p.conv_id AND w.o = p.id
+), placed AS (
+  SELECT c.conv_id, c.id, coalesce(max(p.turn), any_value(c.turn)) AS turn, coalesce(max(p.level), -1) AS level, any_value(c.result_turn) IS NOT NULL AS has_result
+  FROM c LEFT JOIN path p ON p.conv_id = c.conv_id AND p.id = c.id GROUP BY 1, 2
 )
 SELECT conv_id, turn, 0::INT AS step, 'message' AS kind, role, NULL::VARCHAR AS call_id, NULL::BOOLEAN AS linked, NULL::BOOLEAN AS valid,
        turn AS order_turn, 0::INT AS level, json_object('content', text, 'role', role)::VARCHAR AS json
 FROM m WHERE p IS NULL
+UNION ALL
+SELECT conv_id, 10 * t, 0, 'message', 'assistant', NULL, NULL, NULL, 10 * t, 0, json_object('content', text, 'role', 'assistant')::VARCHAR FROM a
+UNION ALL
+SELECT conv_id, 10 * t + 2, 0, 'message', 'assistant', NULL, NULL, NULL, 10 * t + 2, 0, json_object('content', '{"content":' || to_json(text)::VARCHAR || ',"tool_calls":['
+       || '{"name":"search","id":"a' || t || '","arguments":{"query":' || to_json(text)::VARCHAR || ', "limit":' || CASE WHEN t % 4 = 3 THEN '"' || t || '"' ELSE t::VARCHAR END || '},"after":[]},'
+       || '{"name":"calculate","id":"b' || t || '","arguments":{"expression":"1 + ' || t || '"'
+       || CASE WHEN t % 7 = 3 THEN ',"a scale":[1e400,{"z":123456789012345678901234567890123456789012345,"y":-0.10}]' ELSE '' END || '},"after":["a' || t || '","b' || (t - 2) || '"]}'
+       || CASE WHEN t % 5 = 0 THEN ',{"name":"calculate","id":"p' || t || '","arguments":{"expression":2},"after":["q' || t || '"]},{"name":"calculate","id":"q' || t || '","arguments":{"expression":2},"after":["p' || t || '"]}' ELSE '' END
+       || ']} and more', 'role', 'assistant')::VARCHAR FROM a
+UNION ALL
+SELECT k.conv_id, k.turn, k.step, 'call', 'assistant', k.id, has_result, valid, greatest(k.turn, p.turn), level, json FROM calls k JOIN placed p USING (conv_id, id)
+UNION ALL
+SELECT r.conv_id, r.turn, 0, 'result', 'tool', r.id, TRUE, NULL, greatest(r.turn, p.turn), CASE WHEN p.level < 0 THEN -1 ELSE p.level + 1 END,
+       json_object('content', r.text, 'role', 'tool', 'tool_call_id', r.id)::VARCHAR FROM results r JOIN placed p USING (conv_id, id)
 """
 
 _OP4 = r"""
