@@ -7,7 +7,9 @@ scoring is a projection. Label, language, source and id are no inputs.
 
 At most `sample` labelled rows (those of least hash of the id) reach the driver; ids whose crc32 modulo 3 is 1 are
 held out. Null and empty texts have statistics of 0 and get a score. Labels that are null are left out; of several
-for one id the least counts. Without labels the score is 0.5. Rows that repeat an id are scored each.
+for one id the least counts. Without labels the score is 0.5. Rows that repeat an id are scored each, and an empty table
+has no rows. Further columns stay as they are; names that begin with __s_ are this module's own. A very long text is
+one row's work: its words and lines are arrays in memory.
 """
 
 from __future__ import annotations
@@ -165,7 +167,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, label: str = "
     chosen = docs.sparkSession.createDataFrame(known.orderBy(F.xxhash64("__id"), "__id").limit(sample).collect() or [], "__id long, __y int")
     rows = docs.select(docs[id_col].cast("long").alias("__id"), docs[text_col].alias("__t")).join(F.broadcast(chosen), "__id")  # sample rows at most
     rows = with_statistics(rows, "__t").select("__id", "__y", *(f"__s_{n}" for n in NAMES))
-    got = sorted(tuple(r) for r in rows.collect())[: 2 * sample]
+    # rows that repeat an id count too: `sample` rows at most, in a fixed order
+    got = sorted(tuple(r) for r in rows.orderBy(F.xxhash64("__id"), *rows.columns).limit(sample).collect())
     table = np.array(got, float).reshape(-1, len(NAMES) + 2)
     return fit_rules(table[:, 2:], table[:, 1])
 

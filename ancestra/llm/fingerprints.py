@@ -8,7 +8,7 @@ replacement). Of each value (hashed with its bin) the low BITS bits are kept, on
 once in 2**BITS, so the share p of equal digits estimates likeness by (p - c) / (1 - c), c = 2**-BITS, held in [0, 1].
 
 Words are [^\\x20\\x09-\\x0D]+; 1 to 4 words make one shingle; a text without words has all digits 0. Null texts
-are empty.
+are empty. A very long text is one row's work: its shingles are an array in memory. Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -106,14 +106,15 @@ def edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """A row per document: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     The edited text has its last quarter replaced by as much of the start of the next document. A null id counts
-    as the least; of rows that repeat an id, the one with the least text follows, and each has its own row.
+    as the least; of rows that repeat an id, the one whose text has the least xxhash64 follows (its start and its
+    fingerprint), and each has its own row. An empty table gives no rows; other columns are ignored.
     """
     rows = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(NULL_ID)).alias("i"), F.coalesce(docs[text_col], F.lit("")).alias("t"))
-    # rows of one id count as one where they follow: the least text, and the longest start that any of them takes
+    # rows of one id count as one where they follow: the text of least hash, and the longest start that any of them takes
     after = settled(followers(rows.groupBy("i").agg(F.max(F.floor(F.length("t") / 4)).alias("n"))))
     wanted = after.select(F.col("next").alias("i"), F.col("i").alias("before"), "n")
-    starts = rows.join(wanted, "i").select(F.col("before").alias("i"), F.substring(F.col("t"), F.lit(1), F.col("n").cast("int")).alias("start"))
-    starts = starts.groupBy("i").agg(F.min("start").alias("start"))  # the start of the least text is the least start
+    starts = rows.join(wanted, "i").select(F.col("before").alias("i"), F.substring(F.col("t"), F.lit(1), F.col("n").cast("int")).alias("start"), F.xxhash64("t").alias("h"))
+    starts = starts.groupBy("i").agg(F.min_by("start", "h").alias("start"))
     both = rows.join(starts, "i", "left").withColumn("m", F.floor(F.length("t") / 4).cast("int"))
     new = F.concat(F.substring(F.col("t"), F.lit(1), F.length("t") - F.col("m")), F.substring(F.coalesce("start", F.lit("")), F.lit(1), F.col("m")))
     both = both.select("i", "t", F.length("t").cast("long").alias("n_chars"), new.alias("e"))
