@@ -86,9 +86,9 @@ def _repeats(rows, length):
     return out
 
 
-@pytest.mark.parametrize("hot", [1024, 1])
+@pytest.mark.parametrize("hot", [4096, 1])
 def test_removed_bytes_equal_brute_force(docs, hot):
-    got = suffix.removals(docs, hot_chunks=hot).drop("text_sha256", "kept").collect()
+    got = suffix.removals(docs, hot=hot).collect()
     assert Counter(tuple(r) for r in got) == _repeats(_texts(), 50)
 
 
@@ -130,35 +130,60 @@ def test_scores_follow_their_formula(docs):
     c = Counter(w for i, t in _texts() if not held(i) for w in low(t))
     n, v = sum(c.values()), len(c)
     want = sorted((str(i), held(i), len(low(t)), sum(c[w] > 0 for w in low(t)), n, round(sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in low(t)), 6)) for i, t in _texts())
-    rows = scoring.scores(docs, sample=2000).collect()
+    rows = scoring.scores(docs).collect()
     assert sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in rows) == want
     assert all(math.isfinite(r.score) and r.score < 0 for r in rows)
 
 
 def test_every_training_document_is_learnt_from():
-    # a document that is too long for the start is skipped, not the end of it
-    assert scoring._fitting(np.array([2, 0, 1]), np.array([3, 4, 50]), 8) == [0, 1]
     texts = [(f"alpha beta {i}" * (1 + i % 3)).encode() for i in range(40)]
     chunk = types.SimpleNamespace(ids=np.arange(40), texts=texts, steps=lambda: [(0, 25), (25, 40)])
     t = scoring._Tokens(chunk, 5)
-    s, starts = t.training(np.arange(len(t.h)))
+    read = scoring._Read(chunk.ids, t.held.astype(np.uint8), t.n, None, None, None, np.arange(len(t.h)))
     want = [i for i in range(40) if zlib.crc32(str(i).encode()) % 5 != 1]
-    assert len(starts) == len(want) + 1 and s.tolist() == [k for i in want for k in range(t.starts[i], t.starts[i + 1])]
+    got = []
+    for k in range(3):
+        s, starts = read.part(k, 3)
+        assert starts[-1] == len(s) and len(starts) > 1
+        got += s.tolist()
+    assert sorted(got) == [k for i in want for k in range(t.starts[i], t.starts[i + 1])]
 
 
 def test_model_gradients_and_whole_probability():
     from ancestra.llm import gru
 
     shape = gru.Shape((0, 3, 7), 2, 0)
-    flat = gru.initial(shape, 3)
+    counts = np.array([20, 9, 8, 7, 6, 5, 4, 10, 3])
+    flat = gru.initial(shape, counts, 3)
     start = np.array([0, 40, 60])
     symbols = (np.arange(60) * 7 % 9).astype(np.int32)
     symbols[[39, 59]] = 0
+    unigram = np.log((counts + 0.5) / (counts + 0.5).sum())
+    first = {k: gru.score(shape, flat, np.array([k], np.int32), np.array([0, 1]))[0] for k in range(9)}
+    assert abs(sum(map(math.exp, first.values())) - 1) < 1e-4 and max(abs(first[k] - unigram[k]) for k in range(9)) < 0.2
     before = gru.score(shape, flat, symbols, start)
     after = gru.score(shape, gru.train(shape, flat, symbols, start, 2e-2, 30), symbols, start)
     assert after.sum() > before.sum() + 20
-    total = sum(math.exp(gru.score(shape, flat, np.array([k], np.int32), np.array([0, 1]))[0]) for k in range(9))
+    total = sum(math.exp(gru.score(shape, flat, np.array([4, k], np.int32), np.array([0, 2]))[0] - first[4]) for k in range(9))
     assert abs(total - 1) < 1e-4
+    # the gradient of a window by differences, in double precision
+    flat = flat.astype(np.float64)
+    source, target, text, begin = gru.streams(symbols, start, 2, 0)
+    w = slice(0, 24)
+    h = np.random.default_rng(5).standard_normal((2, gru.HIDDEN)) * 0.3
+    args = (source[w], target[w], text[w] >= 0, begin[w])
+    _, found, _ = gru.gradient(shape, flat, h, *args)
+    for i in np.random.default_rng(6).choice(len(flat), 60, replace=False).tolist() + np.flatnonzero(np.abs(found) > np.quantile(np.abs(found), 0.99)).tolist()[:20]:
+        up, down = flat.copy(), flat.copy()
+        up[i] += 1e-5
+        down[i] -= 1e-5
+        slope = (gru.gradient(shape, up, h, *args)[0] - gru.gradient(shape, down, h, *args)[0]) / 2e-5
+        assert abs(slope - found[i]) < 1e-6 + 1e-4 * abs(slope)
+
+
+def test_model_beats_the_counts_on_held_out_documents(spark):
+    rows = scoring.scores(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("held_out").collect()
+    assert sum(r.score for r in rows) > sum(r.base_score for r in rows) + 0.02 * sum(r.n_tokens for r in rows)
 
 
 def test_token_files_round_trip(docs, none, tmp_path, spark):
@@ -199,6 +224,9 @@ def test_sentencepiece_equals_the_library(docs):
     for x, (ids, decimal, plain) in zip(ODD, mine.look_up([t.encode() for t in ODD])):
         want = m.encode(x)
         assert ids.tolist() == want and decimal.decode() == ",".join(map(str, want)) and plain.decode() == m.decode(want)
+    long = " " * 1_000_000 + "x" + " " * 4099
+    (ids, _, plain), want = mine.look_up([long.encode()])[0], m.encode(long)
+    assert ids.tolist() == want and plain.decode() == m.decode(want)
     got = Counter((r.doc_id, tuple(r.ids), r.decoded) for r in sentencepiece_bpe.round_trip(docs).collect())
     assert got == Counter((i, tuple(m.encode(t or "")), m.decode(m.encode(t or ""))) for i, t in _texts())
 
