@@ -7,6 +7,7 @@ the shared folder, so plans stay small and a lost executor costs a round at most
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ancestra.plans.materialise import settle
@@ -29,15 +30,33 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 
 def closure(edges: DataFrame, seeds: DataFrame | None = None, include_self: bool = True) -> DataFrame:
-    """Pairs (anc, de): every seed (all parents if None: a column anc) with itself and all it reaches."""
-    links = settle(edges.select("p", "ch").distinct())
-    seeds = seeds.select("anc").distinct() if seeds is not None else links.select(F.col("p").alias("anc")).distinct()
-    front = settle(links.join(seeds, F.col("p") == F.col("anc")).select("anc", F.col("ch").alias("de")).where("anc <> de"))
-    found = front
-    while not front.isEmpty():
-        step = front.join(links, F.col("de") == F.col("p")).select("anc", F.col("ch").alias("de")).where("anc <> de").distinct()
-        front = settle(step.join(found, ["anc", "de"], "left_anti"))
-        found = found.unionByName(front)
+    """Pairs (anc, de): every seed (all parents if None: a column anc) with itself and all it reaches.
+
+    All parents: the length of the paths doubles each round, as pairs found in the last round are joined with all pairs found.
+    Some seeds: a round adds an edge, so that work follows what the seeds reach.
+    """
+    links = settle(edges.select("p", "ch").where("p <> ch").distinct())
+    if seeds is None:
+        found = front = links.select(F.col("p").alias("anc"), F.col("ch").alias("de"))
+        while True:
+            ends = found.select(F.col("anc").alias("mid"), F.col("de").alias("far"))
+            # a path that is longer than those found has its first half among the newest or its last half
+            step = front.join(ends, F.col("de") == F.col("mid")).select("anc", F.col("far").alias("de")).where("anc <> de")
+            fresh = step.select("anc", "de", F.lit(1).alias("new")).unionByName(found.select("anc", "de", F.lit(0).alias("new")))
+            every = settle(fresh.groupBy("anc", "de").agg(F.min("new").alias("new")))
+            front = every.where("new = 1").select("anc", "de")
+            found = every.select("anc", "de")
+            if front.isEmpty():
+                break
+        seeds = edges.select(F.col("p").alias("anc")).distinct()
+    else:
+        seeds = seeds.select("anc").distinct()
+        front = settle(links.join(seeds, F.col("p") == F.col("anc")).select("anc", F.col("ch").alias("de")).where("anc <> de"))
+        found = front
+        while not front.isEmpty():
+            step = front.join(links, F.col("de") == F.col("p")).select("anc", F.col("ch").alias("de")).where("anc <> de").distinct()
+            front = settle(step.join(found, ["anc", "de"], "left_anti"))
+            found = found.unionByName(front)
     return seeds.select("anc", F.col("anc").alias("de")).unionByName(found) if include_self else found
 
 
@@ -123,5 +142,30 @@ def inherit(nodes: DataFrame, edges: DataFrame, fields: list[str], rounds: int =
     return rows.select("node", *fields, *((F.col(f"was_{f}").isNull() & F.col(f).isNotNull()).alias(f"inherited_{f}") for f in fields))
 
 
-def children_with_descendants(edges: DataFrame, stats: DataFrame, node: int) -> DataFrame:
-    return edges.where(F.col("p") == node).select(F.col("ch").alias("node"), "relation").join(stats.select("node", "descendants"), "node", "left").select("node", "relation", F.coalesce("descendants", F.lit(0)).alias("descendants"))
+def enriched(nodes: DataFrame, edges: DataFrame, overrides: DataFrame, fields: list[str], rounds: int = 10) -> DataFrame:
+    """`inherit` with the license classes of overrides (node, cls) written as override:<cls> first, so that copies inherit them;
+    license_no_override is the license without them. Overrides to 'other' and of unknown nodes do nothing."""
+    plain = inherit(nodes, edges, fields, rounds).select("node", F.col("license").alias("license_no_override"))
+    told = overrides.where("cls <> 'other'").groupBy("node").agg(F.min("cls").alias("to"))
+    rows = nodes.join(told, "node", "left").withColumn("license", F.coalesce(F.concat(F.lit("override:"), F.col("to")), F.col("license"))).drop("to")
+    return inherit(rows, edges, fields, rounds).join(plain, "node")
+
+
+def children_with_descendants(edges: DataFrame, stats: DataFrame, parents: DataFrame) -> DataFrame:
+    """p, node, relation, descendants: of the children of some parents (p), one row a child."""
+    rows = edges.join(parents.select("p").distinct(), "p", "left_semi").groupBy("p", F.col("ch").alias("node")).agg(F.min("relation").alias("relation"))
+    return rows.join(stats.select("node", "descendants"), "node", "left").select("p", "node", "relation", F.coalesce("descendants", F.lit(0)).alias("descendants"))
+
+
+def lineage_view(edges: DataFrame, stats: DataFrame, closed: DataFrame, parents: DataFrame, top: int) -> DataFrame:
+    """p, rank, node, relation, descendants: of some parents the `top` children by descendants, and a row (rank top + 1, node null) for
+    the rest: how many they are (relation) and how many nodes they reach together, themselves included. Subtrees overlap, so
+    their union is counted, not their sum."""
+    w = W.partitionBy("p").orderBy(F.desc("descendants"), "node")
+    rows = children_with_descendants(edges, stats, parents).withColumn("rank", F.row_number().over(w))
+    rest = rows.where(F.col("rank") > top)
+    below = rest.select("p", "node").join(closed, F.col("node") == F.col("anc"), "left").select("p", F.coalesce("de", "node").alias("de"))
+    union = below.groupBy("p").agg(F.count_distinct("de").alias("descendants"))
+    others = rest.groupBy("p").agg(F.concat(F.count("*"), F.lit(" others")).alias("relation")).join(union, "p")
+    others = others.select("p", F.lit(top + 1).alias("rank"), F.lit(None).cast("long").alias("node"), "relation", "descendants")
+    return rows.where(F.col("rank") <= top).select("p", "rank", "node", "relation", "descendants").unionByName(others)

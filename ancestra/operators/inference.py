@@ -30,6 +30,12 @@ def lookup_missing(edges: DataFrame, lookup: DataFrame, nodes: DataFrame, least_
     return rows.join(there, "resolved_id", "left").select("parent_id", "children", "status", "resolved_id", F.coalesce("there", F.lit(False)).alias("in_snapshot"))
 
 
+def fetched_names(wanted: DataFrame, done: DataFrame, answers: DataFrame, key: str) -> DataFrame:
+    """key, license_name, answered: of the ids that were not asked for before, by a table of answers (key, license_name)."""
+    rows = wanted.select(key).distinct().join(done.select(key), key, "left_anti")
+    return rows.join(answers.select(key, "license_name", F.lit(True).alias("answered")), key, "left").withColumn("answered", F.coalesce("answered", F.lit(False)))
+
+
 def reconnect(edges: DataFrame, resolved: DataFrame) -> DataFrame:
     """Edges whose absent parent is known under another id point there; loops and repeats go."""
     fixed = resolved.where(F.col("status").isin("renamed", "alias", "local_path") & F.col("in_snapshot")).select("parent_id", "resolved_id", "status")

@@ -32,6 +32,33 @@ def survivors(p: DataFrame, removed: DataFrame, scenarios: DataFrame) -> DataFra
     return out.withColumns({"remaining": F.col("providers") - F.coalesce("gone", F.lit(0)), "best_after": F.when(F.col("gone").isNull(), F.col("best")).otherwise(F.coalesce("best_left", F.lit(0)))}).drop("gone", "best_left")
 
 
+def touched_loss(p: DataFrame, removed: DataFrame, scenarios: DataFrame, definition: str = "full", strict: bool = False) -> DataFrame:
+    """What `loss` of `survivors` gives, by way of the options that a removal touches alone: an option none of whose
+    providers goes is not lost, so counts of all options are totals and the rows follow the removals, not scenarios x options.
+    """
+    total = providers(p).select(*OPTION, "providers", "downloads")
+    com = commercial(F.col("cls"), strict)
+    gone = removed.join(p, "node").groupBy("scenario_id", *OPTION).agg(F.count("*").alias("gone"))
+    if definition == "full":
+        # what is left of a group's options of unknown language, and of all of them
+        whole = total.groupBy("task", "cls").agg(F.sum("providers").alias("all"), F.sum(F.when(F.col("lang") == "unk", F.col("providers")).otherwise(0)).alias("unk"))
+        group = gone.groupBy("scenario_id", "task", "cls").agg(F.sum("gone").alias("all_gone"), F.sum(F.when(F.col("lang") == "unk", F.col("gone")).otherwise(0)).alias("unk_gone"))
+        group = group.join(whole, ["task", "cls"]).select("scenario_id", "task", "cls", (F.col("all") == F.col("all_gone")).alias("none_left"), (F.col("unk") == F.col("unk_gone")).alias("no_unk_left"))
+        rows = gone.join(total, OPTION).join(group, ["scenario_id", "task", "cls"])
+        lost = rows.where(F.when(F.col("lang") == "unk", F.col("none_left")).otherwise((F.col("gone") == F.col("providers")) & F.col("no_unk_left")))
+    else:
+        lost = gone.join(total, OPTION).where("gone = providers")
+    per = lost.groupBy("scenario_id").agg(F.count("*").alias("n"), F.sum("downloads").alias("d"), F.count(F.when(com, 1)).alias("c"))
+    sums = total.agg(F.count("*").alias("options_total"), F.sum("downloads").alias("all_d"), F.count(F.when(com, 1)).alias("all_c"))
+    rows = scenarios.select("scenario_id").distinct().join(per, "scenario_id", "left").join(sums, how="cross")  # one row
+    n = lambda c: F.coalesce(F.col(c), F.lit(0))
+    ratio = lambda a, b: 100.0 * a / F.greatest(b, F.lit(1))
+    return rows.select(
+        "scenario_id", "options_total", n("n").alias("options_lost"), ratio(n("n"), F.col("options_total")).alias("pct_options_lost"),
+        ratio(n("d"), F.col("all_d")).alias("pct_demand_lost"), ratio(n("c"), F.col("all_c")).alias("pct_commercial_lost"),
+    )
+
+
 def with_loss(options: DataFrame, definition: str = "full") -> DataFrame:
     """A column lost. full: an unknown language stands for any: a known one survives by it, and it by any of its group."""
     if definition != "full":
@@ -61,6 +88,15 @@ def loss(options: DataFrame, definition: str = "full", removed_class: bool = Fal
     return rows.groupBy("scenario_id").agg(*out)
 
 
+def node_losses(removed: DataFrame, nodes: DataFrame) -> DataFrame:
+    """A row a scenario: models_lost (providers), models_lost_incl_flagged (all nodes), pct_downloads_lost of all downloads."""
+    per = removed.join(nodes.select("node", "is_provider", "downloads"), "node").groupBy("scenario_id").agg(
+        F.count_if("is_provider").alias("models_lost"), F.count("*").alias("models_lost_incl_flagged"), F.sum(F.coalesce("downloads", F.lit(0))).alias("gone")
+    )
+    total = nodes.agg(F.sum(F.coalesce("downloads", F.lit(0))).alias("total"))
+    return per.join(total, how="cross").select("scenario_id", "models_lost", "models_lost_incl_flagged", (100.0 * F.col("gone") / F.greatest("total", F.lit(1))).alias("pct_downloads_lost"))  # one row
+
+
 def degradation(options: DataFrame, definition: str = "full") -> DataFrame:
     """A row a scenario: share of options whose best surviving downloads fall below a tenth, and the demand-weighted fall."""
     rows = options

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ancestra.functions import names
 from ancestra.operators import graph, options
 
 STRATEGIES = ["descendants", "descendant_authors", "downloads", "outdegree"]
@@ -19,6 +20,13 @@ def candidates(nodes: DataFrame, edges: DataFrame, closed: DataFrame) -> DataFra
     return rows.select("node", F.coalesce("descendants", F.lit(0)).alias("descendants"), F.coalesce("descendant_authors", F.lit(0)).alias("descendant_authors"), "downloads", "outdegree", (F.coalesce("descendants", F.lit(0)) + 1).alias("closure_size"))
 
 
+def availability_size(nodes: DataFrame, edges: DataFrame, hard_closed: DataFrame, cand: DataFrame) -> DataFrame:
+    """(node, availability_size): providers that a candidate's removal alone makes unavailable, itself included."""
+    alone = cand.select(F.col("node").alias("scenario_id"), "node")
+    removed = graph.removed_availability(edges, hard_closed, alone).join(nodes.where("is_provider").select("node"), "node", "left_semi")
+    return removed.groupBy(F.col("scenario_id").alias("node")).agg(F.count("*").alias("availability_size"))
+
+
 def targeted(cand: DataFrame, ks: list[int], strategies: list[str] = STRATEGIES) -> DataFrame:
     """(scenario_id, strategy, k, node): the k first of each ranking, ties by node. Only the largest k rows are ranked on."""
     out = None
@@ -76,15 +84,46 @@ def matched(points: DataFrame, target: int, tolerance: float = 0.95, nearest: bo
 
 
 def bin_matched(cand: DataFrame, target: DataFrame, n: int) -> DataFrame:
-    """(draw, node): at random, as many of each log2 size bin as the targets (node) have, targets left out."""
-    from ancestra.functions.names import log2_bin
+    """(draw, node): at random, as many of each log2 size bin as the targets (node) have, targets left out.
 
-    binned = cand.withColumn("bin", log2_bin(F.col("descendants")))
-    wanted = binned.join(target.select("node"), "node", "left_semi").groupBy("bin").agg(F.count("*").alias("wanted"))
-    rest = binned.join(target.select("node"), "node", "left_anti").select("node", "bin")
-    rows = rest.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    w = W.partitionBy("draw", "bin").orderBy(draw_key(F.lit("bin"), "draw", "node"), "node")
-    return rows.withColumn("rn", F.row_number().over(w)).join(F.broadcast(wanted), "bin").where("rn <= wanted").select("draw", "node")  # at most 64 bins
+    A bin with too few others draws from all bins from the one below it on, targets left out (so a node may be drawn for two
+    bins of a draw: it counts once); of each draw at most as many rows as there are targets are kept, smallest bins first.
+    """
+    binned = cand.withColumn("bin", names.log2_bin(F.col("descendants")))
+    chosen = target.select("node").distinct()
+    wanted = binned.join(chosen, "node", "left_semi").groupBy("bin").agg(F.count("*").alias("wanted"))
+    rest = binned.join(chosen, "node", "left_anti").select("node", "bin")
+    there = rest.groupBy("bin").agg(F.count("*").alias("there"))
+    wanted = wanted.join(there, "bin", "left").select(F.col("bin").alias("for_bin"), "wanted", F.when(F.coalesce("there", F.lit(0)) >= F.col("wanted"), F.col("bin")).otherwise(None).alias("own"))
+    fits = (F.col("bin") == F.col("own")) | (F.col("own").isNull() & (F.col("bin") >= F.col("for_bin") - 1))
+    pool = rest.join(F.broadcast(wanted), fits).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))  # at most 64 bins
+    w = W.partitionBy("draw", "for_bin").orderBy(draw_key(F.lit("bin"), "draw", "node"), "node")
+    rows = pool.withColumn("rn", F.row_number().over(w)).where("rn <= wanted")
+    total = wanted.agg(F.sum("wanted").alias("k"))
+    first = W.partitionBy("draw").orderBy("for_bin", "rn")  # a draw has as many rows as there are targets
+    rows = rows.withColumn("at", F.row_number().over(first)).join(F.broadcast(total), how="cross").where("at <= k")  # one row
+    return rows.select("draw", "node").distinct()
+
+
+def growing_prefix(points: DataFrame, sizes: DataFrame, target: int, tolerance: float = 0.95, growth: float = 1.15) -> DataFrame:
+    """(draw, m, removed): the first prefix of the sequence m, int(growth * m) + 1, ... that removes tolerance * target
+    providers, or all candidates; the sequence starts where the sizes (draw, rank, size) of single closures first add up to
+    the target. `points` are those of `curve`, so a step is a look-up in it and not another removal.
+    """
+    ordered = W.partitionBy("draw").orderBy("rank")
+    reached = sizes.withColumn("sum", F.sum("size").over(ordered))
+    start = reached.groupBy("draw").agg((F.count_if(F.col("sum") < target) + 1).alias("m"), F.max("rank").alias("all"))
+    start = start.select("draw", F.least("m", "all").alias("m"), "all")
+    steps = F.aggregate(
+        F.sequence(F.lit(1), F.lit(200)), F.array("m"),
+        lambda acc, _: F.when(F.element_at(acc, -1) >= F.col("all"), acc).otherwise(F.concat(acc, F.array(F.least(F.col("all"), F.floor(F.element_at(acc, -1) * growth).cast("long") + 1)))),
+    )
+    tried = start.select("draw", "all", F.explode(steps).alias("m"))
+    curve_ = points.select("draw", "m", "removed").unionByName(tried.select("draw", "m", F.lit(None).cast("long").alias("removed")))
+    filled = F.max("removed").over(W.partitionBy("draw").orderBy("m").rangeBetween(W.unboundedPreceding, 0))
+    at = curve_.withColumn("got", F.coalesce(filled, F.lit(0))).where("removed is null").select("draw", "m", F.col("got").alias("removed"))
+    fine = at.join(start.select("draw", "all"), "draw").where((F.col("removed") >= tolerance * target) | (F.col("m") >= F.col("all")))
+    return fine.groupBy("draw").agg(F.min(F.struct("m", "removed")).alias("x")).select("draw", "x.*")
 
 
 def license_removals(nodes: DataFrame, closed: DataFrame, classes: list[str]) -> DataFrame:
@@ -116,3 +155,14 @@ def greedy(cand: DataFrame, closed: DataFrame, nodes: DataFrame, k: int, pool: i
         chosen.append(row.node)
         alive = settle(alive.join(reach_.where(F.col("cand") == row.node).select("node"), "node", "left_anti"))
     return chosen
+
+
+def stratified_sample(rows: DataFrame, key: str, strata: dict[str, tuple], seen: DataFrame, name: str = "sample") -> DataFrame:
+    """(key, stratum): of each stratum (condition, n) the first n rows by hash order that no earlier stratum took and `seen` hasn't."""
+    rest = rows.join(seen.select(key), key, "left_anti").withColumn("__h", F.md5(F.concat_ws(":", F.lit(name), F.col(key).cast("string"))))
+    out = None
+    for stratum, (condition, n) in strata.items():
+        left = rest if out is None else rest.join(out.select(key), key, "left_anti")
+        took = left.where(condition).orderBy("__h", key).limit(n).select(key, F.lit(stratum).alias("stratum"))
+        out = took if out is None else out.unionByName(took)
+    return out

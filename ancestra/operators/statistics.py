@@ -25,7 +25,7 @@ def holm(tests: DataFrame, family: list[str], order: list[str], alpha: float = 0
     m = F.count("*").over(W.partitionBy(*family))
     rows = tests.withColumn("scaled", (m - F.row_number().over(w) + 1) * F.col("p"))
     p = F.least(F.lit(1.0), F.max("scaled").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    return rows.withColumn("p_holm", p).withColumn("reject", F.col("p_holm") < alpha).drop("scaled")
+    return rows.withColumn("p_holm", p).withColumn("reject", F.col("p_holm") <= alpha).drop("scaled")
 
 
 def cliffs_delta(null: DataFrame, observed: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
@@ -61,19 +61,50 @@ def wilson(hits: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
     return centre - half, centre + half
 
 
-def bootstrap_share(rows: DataFrame, flag: str, replicates: int = 5000, bins: int = 2000) -> DataFrame:
-    """low, high: the 2.5 and 97.5 percentiles of a share over resamples.
+def ratings(key: DataFrame, a: DataFrame, b: DataFrame, item: str) -> DataFrame:
+    """key (item, stratum) with the labels A and B that two raters (item, label) gave; every item needs both, once."""
+    rows = key.join(a.select(item, F.col("label").alias("A")), item).join(b.select(item, F.col("label").alias("B")), item)
+    wanted, found = key.agg(F.count("*").alias("wanted")), rows.agg(F.count("*").alias("found"))
+    fits = wanted.join(found, how="cross").select((F.col("wanted") == F.col("found")).alias("fits"))  # one row each
+    return rows.join(fits, how="cross").where(F.coalesce(F.when(F.col("fits"), True).otherwise(F.raise_error("a label is missing or repeated").cast("boolean")), F.lit(False))).drop("fits")
 
-    A resample of n rows of which h have the flag has a binomial number of them; replicates draw it from the two
-    counts by the normal quantile of an evenly spread probability, so no row is copied.
-    """
-    import statistics
 
+def agreement(rows: DataFrame, undecided: int = 9) -> DataFrame:
+    """One row for labels A, B: n, n_both_decidable, agreement and kappa on those, kappa of all labels, disagreements."""
+    both = rows.where((F.col("A") != undecided) & (F.col("B") != undecided))
+    two = kappa(both, "A", "B").select(F.col("n").alias("n_both_decidable"), "agreement", F.col("kappa").alias("kappa_binary"))
+    three = kappa(rows, "A", "B").select("n", F.col("kappa").alias("kappa_3cat_all"))
+    apart = rows.agg(F.count_if(F.col("A") != F.col("B")).alias("n_disagreements"))
+    return three.join(two, how="cross").join(apart, how="cross")  # one row each
+
+
+def stratum_precision(rows: DataFrame, genuine: tuple[str, ...], undecided: int = 9) -> DataFrame:
+    """Of each stratum and rater (and of the labels both gave): n decided, hits, share, Wilson bounds; a genuine stratum wants the label 0, others 1."""
+    want = F.when(F.col("stratum").isin(*genuine), 0).otherwise(1)
+    consensus = F.when(F.col("A") == F.col("B"), F.col("A"))
+    labels = F.explode(F.map_from_arrays(F.array(*map(F.lit, ("A", "B", "consensus"))), F.array("A", "B", consensus))).alias("rater", "label")
+    counted = rows.select("stratum", want.alias("want"), labels).where(F.col("label").isNotNull() & (F.col("label") != undecided))
+    n = counted.groupBy("stratum", "rater").agg(F.count("*").alias("n"), F.count_if(F.col("label") == F.col("want")).alias("hits"))
+    low, high = wilson(F.col("hits"), F.col("n"))
+    return n.select("stratum", "rater", "n", "hits", (F.col("hits") / F.col("n")).alias("precision"), low.alias("low"), high.alias("high"))
+
+
+def bootstrap_share(rows: DataFrame, flag: str, replicates: int = 5000) -> DataFrame:
+    """share, low, high: the 2.5 and 97.5 percentiles of a share over resamples with replacement.
+
+    Each replicate draws as many rows as there are, by md5 of (replicate, draw) modulo their number: rows that agree in
+    the flag are interchangeable, so a drawn number below the count of flagged rows is a flagged one. Draws are summed
+    where they are made; what is shuffled is a row a replicate.
+    """
     total = rows.agg(F.count("*").alias("n"), F.count_if(F.col(flag)).alias("h"))
-    z = statistics.NormalDist().inv_cdf(0.975)
-    p = F.col("h") / F.greatest(F.col("n"), F.lit(1))
-    half = z * F.sqrt(p * (1 - p) / F.greatest(F.col("n"), F.lit(1)))
-    return total.select(p.alias("share"), F.greatest(F.lit(0.0), p - half).alias("low"), F.least(F.lit(1.0), p + half).alias("high"))
+    block, last = F.lit(4096), F.col("n") - 1  # draws that one row makes at a time
+    draws = total.where("n > 0").select("n", "h", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
+    draws = draws.select("n", "h", "replicate", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(last / block))).alias("b")).repartition("replicate", "b")
+    draws = draws.select("n", "h", "replicate", F.explode(F.sequence(F.col("b") * block, F.least(last, F.col("b") * block + block - 1))).alias("draw"))
+    at = F.conv(F.substring(F.md5(F.concat_ws(":", "replicate", "draw")), 1, 12), 16, 10).cast("long") % F.col("n")
+    shares = draws.groupBy("replicate").agg((F.count_if(at < F.col("h")) / F.max("n")).alias("share"))
+    bounds = shares.agg(F.percentile("share", F.lit(0.025)).alias("low"), F.percentile("share", F.lit(0.975)).alias("high"))
+    return total.select((F.col("h") / F.nullif("n", F.lit(0))).alias("share")).join(bounds, how="cross")  # one row each
 
 
 def h1(counts: DataFrame, column: str = "n_root_lineages") -> DataFrame:
@@ -90,6 +121,56 @@ def h3(losses: DataFrame, focus: list[str]) -> DataFrame:
     return rows.join(ok, how="cross")  # one row
 
 
+def h1_planned(counts: DataFrame, column: str = "n_root_lineages", replicates: int = 5000) -> DataFrame:
+    """share, low, high, n_options, supported: whether the bootstrap interval of the share of single lineages lies above a half."""
+    some = counts.where(F.col(column) > 0).withColumn("__single", F.col(column) == 1)
+    n = some.agg(F.count("*").alias("n_options"))
+    return bootstrap_share(some, "__single", replicates).join(n, how="cross").withColumn("supported", F.col("low") > 0.5)  # one row each
+
+
+def h2(results: DataFrame, keys: list[str], metric: str = "pct_options_lost") -> DataFrame:
+    """A row for each shock (keys), k and targeted strategy: its loss against the draws matched to it, with Holm's step-down over the shock.
+
+    results: keys, k, strategy, matched_to, removed_providers, the metric. Strategies 'random' and 'greedy' are
+    references: ratio_vs_uniform_ref and greedy_ref.
+    """
+    by = [*keys, "k"]
+    targeted = results.where(~F.col("strategy").isin("random", "random_matched", "greedy") & ~F.col("strategy").startswith("license:"))
+    observed = targeted.select(*by, "strategy", F.col(metric).alias("observed"), "removed_providers")
+    null = results.where("strategy = 'random_matched'").select(*by, F.col("matched_to").alias("strategy"), F.col(metric).alias("value"))
+    rows = empirical_p(null, observed.drop("removed_providers"), [*by, "strategy"]).join(observed.drop("observed"), [*by, "strategy"])
+    uniform = results.where("strategy = 'random'").groupBy(*by).agg(F.avg(metric).alias("uniform_mean"))
+    greedy = results.where("strategy = 'greedy'").groupBy(*by).agg(F.max(metric).alias("greedy_ref"))
+    rows = rows.join(uniform, by, "left").join(greedy, by, "left")
+    ratio = F.when(F.col("uniform_mean") > 0, F.col("observed") / F.nullif("uniform_mean", F.lit(0.0)))
+    return holm(rows.withColumn("ratio_vs_uniform_ref", ratio), keys, ["k", "strategy"])
+
+
+def planned(results: DataFrame, metric: str = "pct_options_lost") -> DataFrame:
+    """Tests of H2a (every strategy against uniform draws) and H2b (descendants against bin-matched ones), Holm within each, with
+    Cliff's delta and the ratio of mean nodes lost in the null to those of the target."""
+    out = None
+    for hyp, draws, only in (("H2a", "random", None), ("H2b", "random_matched", "descendants")):
+        observed = results.where(~F.col("strategy").isin("random", "random_matched") & ~F.col("strategy").startswith("license:"))
+        observed = (observed.where(F.col("strategy") == only) if only else observed).select("k", "strategy", F.col(metric).alias("observed"), "models_lost")
+        null = results.where(F.col("strategy") == draws).select("k", F.col(metric).alias("value"), F.col("models_lost").alias("null_lost"))
+        each = null.join(observed.select("k", "strategy").distinct(), "k")
+        p = empirical_p(each, observed.drop("models_lost"), ["k", "strategy"]).select("k", "strategy", "observed", "null_mean", "p")
+        delta = cliffs_delta(each, observed.drop("models_lost"), ["k", "strategy"])
+        size = null.groupBy("k").agg(F.avg("null_lost").alias("null_lost"))
+        rows = p.join(delta, ["k", "strategy"]).join(observed.select("k", "strategy", "models_lost"), ["k", "strategy"]).join(size, "k")
+        rows = rows.select(F.lit(hyp).alias("hyp"), "k", "strategy", "observed", "null_mean", "p", "cliffs_delta", (F.col("null_lost") / F.nullif("models_lost", F.lit(0))).alias("null_per_target"))
+        out = rows if out is None else out.unionByName(rows)
+    return holm(out, ["hyp"], ["k", "strategy"])
+
+
+def h3_planned(losses: DataFrame) -> DataFrame:
+    """cls, ratio of commercial options lost (the class's own included) to its share of nodes, supported: whether any ratio is over 1."""
+    ratio = F.when(F.col("pct_models") > 0, F.col("pct_commercial_lost") / F.nullif("pct_models", F.lit(0.0)))
+    rows = losses.select("cls", ratio.alias("ratio"))
+    return rows.join(rows.agg(F.coalesce(F.bool_or(F.col("ratio") > 1), F.lit(False)).alias("supported")), how="cross")  # one row
+
+
 def verdicts(tests: DataFrame, keys: list[str]) -> DataFrame:
     """keys, k_significant, k_total, supported: at which k any strategy rejects, and whether at more than half."""
     per = tests.groupBy(*keys, "k").agg(F.bool_or("reject").alias("any"))

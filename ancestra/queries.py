@@ -133,9 +133,9 @@ def _sizes(spark, d, semantics):
     return seeds.select("scenario_id", "strategy", "k").distinct().join(rows, "scenario_id").drop("scenario_id")
 
 
-@query(lineage("SELECT scenario_id, node FROM (SELECT 1 AS scenario_id, ch AS node FROM edges WHERE false) UNION SELECT s, n FROM r", """, r(s, n) AS (SELECT o_orderkey % 3, o_orderkey FROM orders WHERE o_orderkey < 30 UNION SELECT r.s, e.ch FROM r JOIN edges e ON e.p = r.n)"""))
+@query(lineage("SELECT scenario_id, node FROM r", """, r(scenario_id, node) AS (SELECT o_custkey % 40, o_orderkey FROM orders UNION SELECT r.scenario_id, e.ch FROM r JOIN edges e ON e.p = r.node)"""))
 def reach_from_seeds(spark, d):
-    seeds = fixtures.table(spark, d, "orders").where("o_orderkey < 30").select((F.col("o_orderkey") % 3).alias("scenario_id"), F.col("o_orderkey").alias("node"))
+    seeds = fixtures.table(spark, d, "orders").select((F.col("o_custkey") % 40).alias("scenario_id"), F.col("o_orderkey").alias("node"))
     return graph.reach(fixtures.edges(spark, d), seeds)
 
 
@@ -145,15 +145,14 @@ def roots_per_node(spark, d):
     return graph.roots(e, n, _closed(spark, d))
 
 
-_CYCLE = """WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey % 97 AS p, (l_suppkey * 7 + l_linenumber) % 389 AS ch FROM lineitem WHERE l_suppkey % 5 <> 0),
-clo(anc, de) AS (SELECT p, ch FROM e UNION SELECT c.anc, e.ch FROM clo c JOIN e ON c.de = e.p)
-SELECT e.p, e.ch, EXISTS (SELECT 1 FROM clo WHERE anc = e.ch AND de = e.p) AND e.p <> e.ch AS in_cycle FROM e"""
+_CYCLE = """, e AS (SELECT DISTINCT p, ch FROM edges UNION SELECT ch, p FROM edges WHERE relation = 'mirror'), loop(anc, de) AS (SELECT p, ch FROM e UNION SELECT c.anc, e.ch FROM loop c JOIN e ON c.de = e.p)"""
 
 
-@query(_CYCLE)
+@query(lineage("SELECT e.p, e.ch, e.p <> e.ch AND l.anc IS NOT NULL AS in_cycle FROM e LEFT JOIN loop l ON l.anc = e.ch AND l.de = e.p", _CYCLE))
 def cycle_edges(spark, d):
-    e = fixtures.table(spark, d, "lineitem").where("l_suppkey % 5 <> 0").select((F.col("l_suppkey") % 97).alias("p"), ((F.col("l_suppkey") * 7 + F.col("l_linenumber")) % 389).alias("ch")).distinct()
-    return graph.cycle_edges(e)
+    e = fixtures.edges(spark, d)
+    back = e.where("relation = 'mirror'").select(F.col("ch").alias("p"), F.col("p").alias("ch"))
+    return graph.cycle_edges(e.select("p", "ch").unionByName(back).distinct())
 
 
 _INHERIT = """, only_ AS (SELECT ch, min(p) AS p FROM edges WHERE relation IN ('quantized', 'mirror') GROUP BY 1 HAVING count(*) = 1),
@@ -189,7 +188,7 @@ def _losses(spark, d, semantics, definition):
     seeds, removed = _removed(spark, d, semantics)
     seeds, removed = settle(seeds), settle(removed)
     p = options.pairs(fixtures.nodes(spark, d), definition)
-    return seeds.select("scenario_id", "strategy", "k").distinct().join(options.loss(options.survivors(p, removed, seeds), definition), "scenario_id").drop("scenario_id")
+    return seeds.select("scenario_id", "strategy", "k").distinct().join(options.touched_loss(p, removed, seeds, definition), "scenario_id").drop("scenario_id")
 
 
 @query(lineage(_LOSSES.format(l="lost", c=_COM), _LEGAL + _PAIRS + _LOST))
@@ -342,15 +341,29 @@ def null_nearest(spark, d):
     return scenarios.matched(_curve(spark, d), _target(spark, d), nearest=True)
 
 
-@query(lineage(f"SELECT draw, node FROM (SELECT draw, c.node, w.n, row_number() OVER (PARTITION BY draw, c.b ORDER BY md5('bin:' || draw || ':' || c.node), c.node) AS rn FROM (SELECT node, floor(log2(descendants + 1))::INT AS b FROM cand WHERE node NOT IN (SELECT node FROM t10)) c JOIN (SELECT floor(log2(descendants + 1))::INT AS b, count(*) AS n FROM t10 GROUP BY 1) w USING (b), (SELECT unnest(range({_DRAWS})) AS draw)) WHERE rn <= n", _STATS + ", t10 AS (SELECT * FROM cand ORDER BY downloads DESC, node LIMIT 10)"))
+_BINS = _STATS + f""", t10 AS (SELECT * FROM cand ORDER BY downloads DESC, node LIMIT 40), b AS (SELECT node, floor(log2(descendants + 1))::INT AS b FROM cand WHERE node NOT IN (SELECT node FROM t10)),
+w AS (SELECT t.b, n, coalesce(m, 0) >= n AS own FROM (SELECT floor(log2(descendants + 1))::INT AS b, count(*) AS n FROM t10 GROUP BY 1) t LEFT JOIN (SELECT b, count(*) AS m FROM b GROUP BY 1) USING (b)),
+pool AS (SELECT draw, w.b AS for_, n, node, row_number() OVER (PARTITION BY draw, w.b ORDER BY md5('bin:' || draw || ':' || node), node) AS rn FROM b JOIN w ON (w.own AND b.b = w.b) OR (NOT w.own AND b.b >= w.b - 1), (SELECT unnest(range({_DRAWS})) AS draw)),
+rows_ AS (SELECT *, row_number() OVER (PARTITION BY draw ORDER BY for_, rn) AS place FROM pool WHERE rn <= n)"""
+
+
+@query(lineage("SELECT DISTINCT draw, node FROM rows_ WHERE place <= (SELECT sum(n) FROM w)", _BINS))
 def null_bin_matched(spark, d):
     c = _cand(spark, d)
-    return scenarios.bin_matched(c, c.orderBy(F.desc("downloads"), "node").limit(10), _DRAWS)
+    return scenarios.bin_matched(c, c.orderBy(F.desc("downloads"), "node").limit(40), _DRAWS)
+
+
+@query(lineage("SELECT draw, arg_min(m, m) AS m, arg_min(removed, m) AS removed FROM (SELECT s.draw, s.m, s.n, coalesce((SELECT max(c.removed) FROM curve c WHERE c.draw = s.draw AND c.m <= s.m), 0)::BIGINT AS removed FROM steps s), target WHERE removed >= 0.95 * t OR m >= n GROUP BY 1", _RANKED + """, sums AS (SELECT draw, rank, sum(closure_size) OVER (PARTITION BY draw ORDER BY rank) AS s FROM ranked JOIN cand USING (node)),
+start AS (SELECT draw, least(count(*) FILTER (s < t) + 1, max(rank)) AS m, max(rank) AS n FROM sums, target GROUP BY draw, t), steps(draw, m, n) AS (SELECT draw, m, n FROM start UNION ALL SELECT draw, least(n, floor(m * 1.15)::BIGINT + 1), n FROM steps WHERE m < n)"""))
+def null_growing_prefix(spark, d):
+    c = _cand(spark, d)
+    sizes = scenarios.ranked(c, "matched", _DRAWS).join(c.select("node", F.col("closure_size").alias("size")), "node").select("draw", "rank", "size")
+    return scenarios.growing_prefix(_curve(spark, d), sizes, _target(spark, d))
 
 
 @query()
 def greedy_topk(spark, d):
-    chosen = scenarios.greedy(_cand(spark, d), _closed(spark, d), fixtures.nodes(spark, d), 3, pool=50)
+    chosen = scenarios.greedy(_cand(spark, d), _closed(spark, d), fixtures.nodes(spark, d), 10)
     return spark.createDataFrame([(i + 1, n) for i, n in enumerate(chosen)], "k int, node long")
 
 
@@ -369,7 +382,7 @@ def empirical_p(spark, d):
     return statistics.empirical_p(*_null(spark, d), ["g"])
 
 
-@query(_NULLS + ", t AS (SELECT g, g % 2 AS family, (1 + count(*) FILTER (value >= observed)) / (1 + count(*)) AS p FROM v JOIN o USING (g) GROUP BY g, observed), s AS (SELECT *, (count(*) OVER (PARTITION BY family) - row_number() OVER (PARTITION BY family ORDER BY p, g) + 1) * p AS x FROM t), h AS (SELECT *, least(1.0, max(x) OVER (PARTITION BY family ORDER BY p, g)) AS p_holm FROM s) SELECT g, family, p, p_holm, p_holm < 0.05 AS reject FROM h")
+@query(_NULLS + ", t AS (SELECT g, g % 2 AS family, (1 + count(*) FILTER (value >= observed)) / (1 + count(*)) AS p FROM v JOIN o USING (g) GROUP BY g, observed), s AS (SELECT *, (count(*) OVER (PARTITION BY family) - row_number() OVER (PARTITION BY family ORDER BY p, g) + 1) * p AS x FROM t), h AS (SELECT *, least(1.0, max(x) OVER (PARTITION BY family ORDER BY p, g)) AS p_holm FROM s) SELECT g, family, p, p_holm, p_holm <= 0.05 AS reject FROM h")
 def holm(spark, d):
     t = statistics.empirical_p(*_null(spark, d), ["g"]).select("g", (F.col("g") % 2).alias("family"), "p")
     return statistics.holm(t, ["family"], ["g"])
@@ -411,11 +424,6 @@ def confusion_pivot(spark, d):
     return fixtures.table(spark, d, "labels").groupBy("quality").pivot("toxic", [0, 1]).count().na.fill(0).withColumnsRenamed({"0": "toxic_0", "1": "toxic_1"})
 
 
-@query()
-def bootstrap_share(spark, d):
-    return statistics.bootstrap_share(_lines(spark, d, "full").withColumn("single", F.col("n_root_lineages") == 1), "single")
-
-
 # ---- names, cleaning, inference ----
 
 _NAMED = "n AS (SELECT p_partkey AS k, 'acct' || (p_partkey % 60) || '/' || replace(p_name, ' ', '-') || CASE WHEN p_partkey % 6 = 0 THEN '-' || ['GGUF','test','4bit','q4_k_m'][(p_partkey // 6 % 4) + 1] ELSE '' END AS model_id, 'acct' || (p_partkey % 60) AS author, make_timestamp(2024, 1, 1 + (p_partkey % 28), 0, 0, 0) AS created_at, CASE WHEN p_size % 5 = 0 THEN NULL ELSE p_type END AS pipeline_tag, CASE WHEN p_size % 4 = 0 THEN NULL ELSE p_brand END AS library_name, CASE WHEN p_size % 2 = 0 THEN NULL ELSE 'mit' END AS license, p_size % 7 AS downloads_all FROM part)"
@@ -534,17 +542,15 @@ def cleaning_effect(spark, d):
     return reports.cleaning_effect(e, n.where("is_provider"))
 
 
-@query(lineage("SELECT * FROM (SELECT count(*) AS nodes, count(*) FILTER (is_provider) AS providers, count(DISTINCT author) AS authors, count(*) FILTER (license IS NULL) AS without_license, count(*) FILTER (languages IS NULL) AS without_languages, sum(downloads)::BIGINT AS downloads FROM nodes), (SELECT count(*) AS edges, count(DISTINCT p) AS parents, count(DISTINCT ch) AS children, count(*) FILTER (relation = 'mirror') AS mirrors FROM edges)"))
+@query(lineage("""SELECT * FROM (SELECT count(*) AS nodes, count(*) FILTER (is_provider) AS providers, count(DISTINCT author) AS authors, count(*) FILTER (license IS NULL) AS without_license, count(*) FILTER (languages IS NULL) AS without_languages,
+  count(*) FILTER (task IS NULL) AS without_task, count(*) FILTER (created_at IS NULL) AS without_date, sum(downloads)::BIGINT AS downloads, count(*) FILTER (coalesce(downloads, 0) = 0) AS without_downloads, min(created_at) AS first_created, max(created_at) AS last_created FROM nodes),
+  (SELECT count(*) AS edges, count(DISTINCT p) AS parents, count(DISTINCT ch) AS children, count(*) FILTER (relation = 'finetune') AS finetune_edges, count(*) FILTER (relation = 'adapter') AS adapter_edges, count(*) FILTER (relation = 'quantized') AS quantized_edges,
+  count(*) FILTER (relation = 'merge') AS merge_edges, count(*) FILTER (relation = 'mirror') AS mirror_edges FROM edges),
+  (SELECT max(d) AS most_children, round_even(avg(d), 6) AS mean_children, count(*) FILTER (d >= 10) AS parents_of_10 FROM (SELECT count(*) AS d FROM edges GROUP BY p)), (SELECT count(*) FILTER (d > 1) AS with_several_parents FROM (SELECT count(*) AS d FROM edges GROUP BY ch))"""))
 def build_summary(spark, d):
     return reports.graph_summary(*_ne(spark, d))
 
 
-@query(lineage("SELECT p, count(*) AS children, min(created_at) AS first_child, max(created_at) AS last_child, count(DISTINCT author) AS child_authors FROM edges JOIN nodes ON node = ch WHERE p % 17 = 0 GROUP BY 1 ORDER BY children DESC, p LIMIT 20"))
-def missing_parent_cases(spark, d):
-    n, e = _ne(spark, d)
-    return reports.missing_parents(e, n, F.col("p") % 17 == 0)
-
-
 @query("SELECT l_returnflag, l_linestatus, count(*) AS n, round_even(avg(l_quantity), 6) AS mean, round_even(quantile_cont(l_quantity, 0.025), 6) AS p025, round_even(quantile_cont(l_quantity, 0.05), 6) AS p05, round_even(quantile_cont(l_quantity, 0.5), 6) AS median, round_even(quantile_cont(l_quantity, 0.95), 6) AS p95, round_even(quantile_cont(l_quantity, 0.975), 6) AS p975, max(l_quantity) AS largest FROM lineitem GROUP BY 1, 2")
 def quantile_bands(spark, d):
     return reports.null_bands(fixtures.table(spark, d, "lineitem"), ["l_returnflag", "l_linestatus"], "l_quantity")
@@ -574,18 +580,14 @@ def full_outer_counts(spark, d):
     return n(F.col("o_orderstatus") == "F", "orders").join(n(F.col("o_orderpriority").startswith("1"), "urgent"), "custkey", "full_outer").na.fill(0)
 
 
-@query("SELECT doc_id, lang FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5('sample:' || doc_id), doc_id) AS rn FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)) WHERE rn <= 20")
-def stratified_sample(spark, d):
-    rest = fixtures.table(spark, d, "documents").select("doc_id", "lang").join(fixtures.table(spark, d, "labels").select("doc_id"), "doc_id", "left_anti")
-    return ingest_rank(rest, "lang", 20)
-
+_SAMPLE = "WITH seen AS (SELECT doc_id FROM labels), a AS (SELECT 1 AS s, 'long' AS stratum, 20 AS n, doc_id FROM documents WHERE n_chars > 2000 UNION ALL SELECT 2, 'first', 20, doc_id FROM documents WHERE doc_id % 7 = 0 UNION ALL SELECT 3, 'rest', 50, doc_id FROM documents), b AS (SELECT * FROM a WHERE doc_id NOT IN (SELECT doc_id FROM seen)), "
 
-def ingest_rank(df: DataFrame, stratum: str, n: int) -> DataFrame:
-    """The first n of each stratum by hash order."""
-    from pyspark.sql import Window as W
 
-    w = W.partitionBy(stratum).orderBy(F.md5(F.concat(F.lit("sample:"), F.col("doc_id").cast("string"))), "doc_id")
-    return df.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= n).drop("rn")
+@query(_SAMPLE + "r AS (SELECT *, md5('sample:' || doc_id) AS h FROM b), s1 AS (SELECT doc_id, stratum FROM r WHERE s = 1 ORDER BY h, doc_id LIMIT 20), s2 AS (SELECT doc_id, stratum FROM r WHERE s = 2 AND doc_id NOT IN (SELECT doc_id FROM s1) ORDER BY h, doc_id LIMIT 20), s3 AS (SELECT doc_id, stratum FROM r WHERE s = 3 AND doc_id NOT IN (SELECT doc_id FROM s1 UNION SELECT doc_id FROM s2) ORDER BY h, doc_id LIMIT 50) SELECT * FROM s1 UNION ALL SELECT * FROM s2 UNION ALL SELECT * FROM s3")
+def stratified_sample(spark, d):
+    docs = fixtures.table(spark, d, "documents").select("doc_id", "n_chars")
+    strata = {"long": (F.col("n_chars") > 2000, 20), "first": (F.col("doc_id") % 7 == 0, 20), "rest": (F.lit(True), 50)}
+    return scenarios.stratified_sample(docs, "doc_id", strata, fixtures.table(spark, d, "labels"))
 
 
 @query(lineage("SELECT node, author FROM nodes WHERE ('0x' || substr(md5(author), 1, 8))::BIGINT % 4 = 0"))
@@ -599,15 +601,13 @@ def audit_violations(spark, d):
     return audit.violations(r, ["l_orderkey", "l_suppkey"], ["l_pct"])
 
 
-@query(lineage("SELECT ch AS node, relation, coalesce(s.descendants, 0) AS descendants FROM edges LEFT JOIN stats s ON s.node = ch WHERE p = 7", _STATS))
-def lineage_example(spark, d):
-    n, e = _ne(spark, d)
-    return graph.children_with_descendants(e, graph.descendant_stats(_closed(spark, d), n), 7)
+_VARIANT = lineage("SELECT 'availability' AS semantics, l.*, z.n AS removed_providers FROM (" + _LOSSES.format(l="lost", c=_COM) + ") l LEFT JOIN (SELECT strategy, k, count(*) AS n FROM removed JOIN nodes USING (node) WHERE is_provider GROUP BY 1, 2) z USING (strategy, k)", _HARD + _PAIRS + _LOST)
+_VARIANT = _VARIANT.replace("(o_orderkey % 13 <> 0) AS is_provider", "(o_orderkey % 13 <> 0 AND NOT (o_orderkey % 5 = 2 AND o_orderkey >= 20 AND o_custkey % 11 <> 0)) AS is_provider").replace("unnest([1, 10, 100]) AS k", "unnest([1, 5, 10, 50, 100]) AS k")
 
 
-@query()
+@query(_VARIANT)
 def variant_losses(spark, d):
-    return variant.targeted_losses(*_ne(spark, d), VariantConfig(exclude_quantized=True), semantics="availability")
+    return variant.targeted_losses(*_ne(spark, d), VariantConfig(exclude_quantized=True, inherit=False), semantics="availability")
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:

@@ -253,3 +253,183 @@ def test_variant_losses_equal_brute_force(spark):
             want[s, k] = (len(options_), lost, len(removed & provider))
     got = {(r.strategy, r.k): (r.options_total, r.options_lost, r.removed_providers) for r in queries.variant_losses(spark, d).collect()}
     assert got == want
+
+
+def test_touched_losses_equal_those_of_all_options(spark, first, second):
+    for (n, e), seeds in ((first, ("A", "B", "A2")), (second, ("B", "D", "U"))):
+        closed = graph.closure(e)
+        every = spark.createDataFrame([(s, s) for s in seeds] + [("all", s) for s in seeds], "scenario_id string, node string")
+        removed = graph.removed_legal(closed, every)
+        for definition in ("full", "strict", "coarse"):
+            p = options.pairs(n, definition)
+            want = sorted(map(tuple, options.loss(options.survivors(p, removed, every), definition).collect()))
+            assert sorted(map(tuple, options.touched_loss(p, removed, every, definition).collect())) == want
+    n, e = first
+    got = options.node_losses(graph.removed_legal(graph.closure(e), _seeds(spark, "A2")), _nodes(spark, ONE, off=("M",))).collect()
+    assert [(r.models_lost, r.models_lost_incl_flagged, round(r.pct_downloads_lost, 6)) for r in got] == [(1, 2, round(100 * 4 / 178, 6))]
+
+
+def test_closure_of_cycles_and_long_paths(spark):
+    pairs = [(f"n{k:02d}", f"n{k + 1:02d}", "finetune") for k in range(37)] + [("n20", "n15", "merge"), ("n05", "n05", "merge"), ("x", "y", "merge")]
+    e = _edges(spark, pairs)
+    below: dict = {}
+    for p, c, _ in pairs:
+        below.setdefault(p, set()).add(c)
+    want = set()
+    for p in below:
+        seen, todo = {p}, [p]
+        while todo:
+            for c in below.get(todo.pop(), ()):
+                if c not in seen:
+                    seen.add(c)
+                    todo.append(c)
+        want |= {(p, c) for c in seen}
+    assert {(r.anc, r.de) for r in graph.closure(e).collect()} == want
+    some = spark.createDataFrame([("n10",), ("x",)], "anc string")
+    assert {(r.anc, r.de) for r in graph.closure(e, some).collect()} == {(p, c) for p, c in want if p in ("n10", "x")}
+    cyclic = {(r.p, r.ch) for r in graph.cycle_edges(e).where("in_cycle").collect()}
+    assert cyclic == {(f"n{k:02d}", f"n{k + 1:02d}") for k in range(15, 20)} | {("n20", "n15")}
+
+
+def test_greedy_takes_what_loses_most(spark, first):
+    n, e = first
+    closed = graph.closure(e)
+    cand = scenarios.candidates(n, e, closed)
+    ids = sorted(r.node for r in cand.collect())
+    down: dict = {}
+    for r in closed.collect():
+        down.setdefault(r.anc, set()).add(r.de)
+    pairs = [(r.node, r.task, r.lang, r.cls) for r in options.pairs(n, "strict").collect()]
+    chosen, gone = [], set()
+    for _ in ids:
+        lost = lambda s: len({p[1:] for p in pairs}) - len({p[1:] for p in pairs if p[0] not in s})
+        best = min((c for c in ids if c not in chosen), key=lambda c: (-lost(gone | down[c]), c))
+        chosen.append(best)
+        gone |= down[best]
+    assert scenarios.greedy(cand, closed, n, len(ids)) == chosen
+
+
+def test_bins_with_too_few_nodes_draw_from_wider_ones(spark):
+    rows = [(k, d) for k, d in enumerate([0, 0, 0, 1, 1, 3, 3, 7, 40, 41, 42, 43])]
+    cand = spark.createDataFrame(rows, "node long, descendants long")
+    target = cand.where("node in (5, 6, 8)")
+    for draw in range(5):
+        got = {r.node for r in scenarios.bin_matched(cand, target, 5).where(f"draw = {draw}").collect()}
+        # both of the bin of 3 are targets: two others come from the bins from 1 on; the bin of 40 has three others
+        assert not got & {5, 6, 8, 0, 1, 2} and 2 <= len(got) <= 3 and got & {9, 10, 11}
+
+
+def test_a_matched_prefix_grows_by_its_factor(spark):
+    points = spark.createDataFrame([(0, m, m * 2) for m in range(1, 101)], "draw int, m int, removed long")
+    sizes = spark.createDataFrame([(0, k, 1 + k % 3) for k in range(1, 101)], "draw int, rank int, size long")
+    sums, m = 0, 0
+    while sums < 90:
+        m += 1
+        sums += 1 + m % 3
+    while m < 100 and 2 * m < 0.95 * 90:
+        m = min(100, int(m * 1.15) + 1)
+    got = scenarios.growing_prefix(points, sizes, 90).collect()
+    assert [(r.m, r.removed) for r in got] == [(m, 2 * m)]
+
+
+def test_holm_rejects_at_the_level_itself(spark):
+    t = spark.createDataFrame([("f", 1, 0.025), ("f", 2, 0.05)], "family string, k int, p double")
+    assert [r.reject for r in statistics.holm(t, ["family"], ["k"]).collect()] == [True, True]
+
+
+def test_bootstrap_resamples(spark):
+    rows = spark.range(400).withColumn("hit", F.col("id") % 4 == 0)
+    r = statistics.bootstrap_share(rows, "hit", 800).first()
+    half = 1.96 * math.sqrt(0.25 * 0.75 / 400)
+    assert r.share == 0.25 and abs(r.low - (0.25 - half)) < 0.01 and abs(r.high - (0.25 + half)) < 0.01
+    assert statistics.bootstrap_share(rows.limit(0), "hit", 10).first().low is None
+
+
+def test_raters_agree_as_published(spark):
+    cells = {(0, 0): 113, (0, 1): 3, (1, 0): 1, (1, 1): 169, (9, 1): 0, (1, 9): 0, (0, 9): 0, (9, 0): 0, (9, 9): 11}
+    cells[1, 9] = 3  # one rater could not decide
+    flat = [(a, b) for (a, b), n in cells.items() for _ in range(n)]
+    items = spark.createDataFrame([(i, "kept" if i % 3 else "bot", a, b) for i, (a, b) in enumerate(flat)], "item int, stratum string, a int, b int")
+    side = lambda c: items.select("item", F.col(c).alias("label"))
+    rows = statistics.ratings(items.select("item", "stratum"), side("a"), side("b"), "item")
+    r = statistics.agreement(rows).first()
+    assert (r.n, r.n_both_decidable, round(100 * r.agreement, 1), round(r.kappa_binary, 3), round(r.kappa_3cat_all, 3), r.n_disagreements) == (300, 286, 98.6, 0.971, 0.955, 7)
+    p = {(x.stratum, x.rater): x for x in statistics.stratum_precision(rows, ("kept",)).collect()}
+    both = [(a, b) for i, (a, b) in enumerate(flat) if i % 3 and a == b != 9]
+    assert (p["kept", "consensus"].n, p["kept", "consensus"].hits) == (len(both), sum(a == 0 for a, _ in both))
+    with pytest.raises(Exception, match="label is missing"):
+        statistics.ratings(items.select("item", "stratum"), side("a").limit(5), side("b"), "item").collect()
+
+
+def test_variant_settings_are_read(spark, first):
+    from ancestra.config import VariantConfig
+    from ancestra.plans import variant
+
+    n, e = first
+    e = e.withColumns({"temporal_ok": F.col("ch") != "M", "parent_in_snapshot": F.lit(True), "in_cycle": F.lit(False), "source": F.when(F.col("ch") == "B1", "inferred_name").otherwise("declared")})
+    flags = n.select("node", (F.col("node") == "A1").alias("f_test"), (F.col("node") == "A2").alias("f_empty"), (F.col("node") == "C").alias("f_zero_downloads"))
+    over = spark.createDataFrame([("B", "copyleft"), ("C", "other")], "node string, cls string")
+    of = lambda **k: variant.prepared(n, e, VariantConfig(**k), flags, over)
+    off = lambda x: {r.node for r in x[0].where("not is_provider").collect()}
+    count = lambda x: x[1].count()
+    assert off(of(tier="T0")) == set() and off(of()) == {"A1", "A2"} and off(of(tier="T2")) == {"A1", "A2", "C"} and off(of(drop_rules=("f_test",))) == {"A2"}
+    assert count(of()) == 4 and count(of(keep_temporal_violations=True)) == 6 and count(of(declared_only=True)) == 3
+    cls = lambda x: {r.node: r.cls for r in x[0].collect()}
+    assert cls(of())["B"] == "copyleft" and cls(of(license_overrides=False))["B"] == "vendor_custom" and cls(of())["C"] == "permissive"
+    assert cls(of(inherit=False))["B"] == "copyleft"
+
+
+def test_a_whole_variant(spark, first):
+    from ancestra.config import VariantConfig
+    from ancestra.plans import variant
+
+    n, e = first
+    n, e = (df.withColumns({c: F.ascii(c).cast("long") * 1000 + F.length(c) * 100 + F.ascii(F.substring(c, -1, 1)) for c in cols}) for df, cols in ((n, ["node"]), (e, ["p", "ch"])))
+    results, tests = variant.tested(n, e, VariantConfig(ks=(1, 2), draws=9, tolerance=0.9))
+    rows = results.collect()
+    kinds = {(r.strategy, r.k) for r in rows}
+    assert len([r for r in rows if r.strategy == "random"]) == 18 and len([r for r in rows if r.strategy == "random_matched"]) == 72 and ("greedy", 2) in kinds
+    size = {(r.strategy, r.k): r.removed_providers for r in rows if r.draw is None}
+    assert all(r.removed_providers >= 0.9 * size[r.matched_to, r.k] for r in rows if r.strategy == "random_matched")
+    t = tests.collect()
+    assert len(t) == 8 and all(r.n_null == 9 and 0.1 <= r.p <= 1 and r.p_holm >= r.p and r.greedy_ref >= r.observed for r in t)
+
+
+def test_crawl_waits_resumes_and_gives_up(spark):
+    waits, saved, calls = [], [], []
+
+    def fetch(url):
+        calls.append(url)
+        if len(calls) == 1:
+            raise ConnectionError("reset")
+        return (503, {}, "") if len(calls) == 2 else (200, {"Link": '<p2>; rel="next"'} if url == "p1" else {}, json.dumps([{"id": url}]))
+
+    assert [p[0]["id"] for p in tables.Pages(fetch, "p1", sleep=waits.append, save=saved.append)] == ["p1", "p2"]
+    assert waits == [1, 2] and [s["url"] for s in saved] == ["p2", None] and saved[-1]["done"]
+    assert [p[0]["id"] for p in tables.Pages(fetch, "p1", state=saved[0], sleep=waits.append)] == ["p2"]
+    with pytest.raises(ValueError):
+        list(tables.Pages(lambda u: (404, {}, ""), "p1", sleep=waits.append))
+    spark.dataSource.register(tables.PageSource)
+    rows = spark.read.format("pages").option("fetch", "tests.pages:fetch").option("url", "a").load().select("id", "downloads").collect()
+    assert [(r.id, r.downloads) for r in rows] == [("x", 1), ("y", None), ("z", 3)]
+
+
+def test_lines_of_several_files_keep_the_order_of_paths(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"id":"k","downloads":1}\n')
+    (tmp_path / "b.json").write_text("".join(json.dumps({"id": "k", "downloads": n, "tags": ["x" * 500]}) + "\n" for n in range(2, 400)))
+    raw = tables.jsonl(spark, str(tmp_path))
+    assert ingest.keep_first(raw, ["id"], "__order").first().downloads == 1
+    with pytest.raises(ValueError):
+        tables.markdown(raw.select("id"), most=10)
+    assert spark.range(1).select(names.thousands(F.lit(1234567)), names.percent(F.lit(0.1234))).first() == ("1,234,567", "12.3%")
+
+
+def test_kept_tables_are_made_again_after_a_write(spark, tmp_path):
+    from ancestra.plans import materialise
+
+    path, made = str(tmp_path / "orders.parquet"), []
+    make = lambda: made.append(1) or spark.range(len(made))
+    for n, write in ((1, True), (1, False), (2, True)):
+        if write:
+            spark.range(n).write.mode("overwrite").parquet(path)
+        assert materialise.once(spark, (str(tmp_path), "t"), make, ("orders",)).count() == n
