@@ -1,24 +1,20 @@
 """Documents to packed sequences: STAGES in order, each reading what the one before has written.
 
 Rows may have null ids, and ids may repeat: a verdict goes back to the rows whose id and text it was made for. Of
-rows that repeat both the id and the text, the near-duplicate stage leaves one.
+rows that repeat both the id and the text, the near-duplicate stage leaves one. Column names that begin with two
+underscores are the stages' own; other further columns go along.
 """
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ancestra.llm import classifier, corpus, jaccard, packing, rules, suffix
 
 
-def _id() -> Column:
-    """The id, as a key that joins where it is null too."""
-    return F.coalesce(F.col("doc_id").cast("long"), F.lit(corpus.NULL_ID)).alias("__i")
-
-
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is 0.5 or more."""
     model = classifier.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -28,26 +24,26 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep, by learnt thresholds."""
-    judged_by = F.xxhash64("text", "lang", "source")
-    kept = rules.judged(docs.withColumn("__h", judged_by), keep=("__h",), learnt=True).where("kept").select(_id(), "__h")
-    return docs.withColumns({"__i": _id(), "__h": judged_by}).join(kept, ["__i", "__h"], "left_semi").select(docs.columns)
+    key = {"__i": F.coalesce(F.col("doc_id").cast("long"), F.lit(corpus.NULL_ID)), "__h": F.xxhash64("text", "lang", "source")}
+    rows = docs.withColumns(key)
+    kept = rules.judged(rows, keep=tuple(key), learnt=True).where("kept").select(*key)
+    return rows.join(kept, list(key), "left_semi").select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The least text of each class of n-gram Jaccard links."""
-    kept = jaccard.classes(docs).where("stands").select(_id(), F.col("text_sha256").alias("__h"))
-    rows = docs.withColumns({"__i": _id(), "__h": F.sha2(F.encode(F.coalesce("text", F.lit("")), "utf-8"), 256)})
-    return rows.join(kept, ["__i", "__h"], "left_semi").dropDuplicates(["__i", "text"]).select(docs.columns)
+    return jaccard.distinct(docs)
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the bytes that earlier documents have; bytes left of a character that was cut go too."""
-    kept = suffix.removals(docs).where("n_removed > 0").select(_id(), F.col("text_sha256").alias("__h"), F.col("kept").alias("__kept")).dropDuplicates(["__i", "__h"])
-    rows = docs.withColumns({"__i": _id(), "__h": F.sha2(F.encode("text", "utf-8"), 256)}).join(kept, ["__i", "__h"], "left")
+    rows = suffix.removals(docs, kept=True)
+    cut = F.col("n_removed") > 0
     # a bad byte sequence reads as U+FFFD, which is then left out of texts that were cut
-    text = F.when(F.col("__kept").isNull(), F.col("text")).otherwise(F.translate(F.make_valid_utf8(F.col("__kept").cast("string")), "�", ""))
-    rows = rows.withColumn("text", text).withColumn("n_chars", F.when(F.col("__kept").isNull(), F.col("n_chars")).otherwise(F.length("text")))
-    return rows.select(docs.columns)
+    text = F.when(cut, F.translate(F.make_valid_utf8(F.col("kept").cast("string")), "\ufffd", "")).otherwise(F.col("row.text"))
+    rows = rows.select("row", text.alias("text"), cut.alias("cut"))
+    new = {"text": F.col("text"), "n_chars": F.when(F.col("cut"), F.length("text")).otherwise(F.col("row.n_chars"))}
+    return rows.select(*(new.get(c, F.col(f"row.{c}")).alias(c) for c in docs.columns))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
