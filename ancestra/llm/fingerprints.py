@@ -102,13 +102,9 @@ def followers(ids: DataFrame) -> DataFrame:
     return part.withColumn("inside", inside).join(F.broadcast(firsts), "p").select("i", "n", F.coalesce("inside", "after").alias("next"))
 
 
-def edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row per document: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
-
-    The edited text has its last quarter replaced by as much of the start of the next document. A null id counts
-    as the least; of rows that repeat an id, the one whose text has the least xxhash64 follows (its start and its
-    fingerprint), and each has its own row. An empty table gives no rows; other columns are ignored.
-    """
+def with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(i, t, n_chars, e): ids, texts, and the texts with their last quarter replaced by as much of the start of the next document;
+    and (i, next). A null id counts as the least; of rows that repeat an id, the one whose text has the least xxhash64 follows."""
     rows = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(NULL_ID)).alias("i"), F.coalesce(docs[text_col], F.lit("")).alias("t"))
     # rows of one id count as one where they follow: the text of least hash, and the longest start that any of them takes
     after = settled(followers(rows.groupBy("i").agg(F.max(F.floor(F.length("t") / 4)).alias("n"))))
@@ -117,10 +113,24 @@ def edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     starts = starts.groupBy("i").agg(F.min_by("start", "h").alias("start"))
     both = rows.join(starts, "i", "left").withColumn("m", F.floor(F.length("t") / 4).cast("int"))
     new = F.concat(F.substring(F.col("t"), F.lit(1), F.length("t") - F.col("m")), F.substring(F.coalesce("start", F.lit("")), F.lit(1), F.col("m")))
-    both = both.select("i", "t", F.length("t").cast("long").alias("n_chars"), new.alias("e"))
+    return both.select("i", "t", F.length("t").cast("long").alias("n_chars"), new.alias("e")), after.select("i", "next")
+
+
+def edited_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A row per document: doc_id, n_chars, edited_sha256."""
+    both, _ = with_edits(docs, id_col, text_col)
+    return both.select(F.nullif("i", F.lit(NULL_ID)).alias("doc_id"), "n_chars", F.sha2(F.encode("e", "utf-8"), 256).alias("edited_sha256"))
+
+
+def edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A row per document: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next; see with_edits.
+
+    An empty table gives no rows; other columns are ignored.
+    """
+    both, after = with_edits(docs, id_col, text_col)
     done = settled(both.select("i", "n_chars", F.sha2(F.encode("e", "utf-8"), 256).alias("edited_sha256"), digits(F.col("t")).alias("fingerprint"), digits(F.col("e")).alias("edited_fingerprint"), F.xxhash64("t").alias("h")))
     follow = done.groupBy("i").agg(F.min_by("fingerprint", "h").alias("next_fingerprint")).select(F.col("i").alias("next"), "next_fingerprint")
-    done = done.join(after.select("i", "next"), "i").join(follow, "next")
+    done = done.join(after, "i").join(follow, "next")
     return done.select(
         F.nullif("i", F.lit(NULL_ID)).alias("doc_id"),
         "n_chars",

@@ -85,6 +85,11 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited(_documents(spark, sf_dir))
 
 
+def edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op8 that SQL can tell."""
+    return fingerprints.edited_texts(_documents(spark, sf_dir))
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     model = classifier.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -97,7 +102,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_chat_formatting, op3_suffix_dedup, op4_quality_rules, op5_lm_scoring, op6_token_files, op7_sentencepiece, op8_fingerprints, op9_quality_classifier, op10_packing)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_chat_formatting, op3_suffix_dedup, op4_quality_rules, op5_lm_scoring, op6_token_files, op7_sentencepiece, op8_fingerprints, op9_quality_classifier, op10_packing, edited_texts)}
 
 
 _OP1 = r"""
@@ -204,5 +209,12 @@ FROM s LEFT JOIN c ON c.lang IS NOT DISTINCT FROM s.lang AND c.source IS NOT DIS
 """
 
 
+_EDITED = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n FROM documents),
+x AS (SELECT *, coalesce(lead(t) OVER (ORDER BY doc_id), first_value(t) OVER (ORDER BY doc_id)) AS following FROM d)
+SELECT doc_id, n::BIGINT AS n_chars, sha256(substr(t, 1, n - n // 4) || substr(following, 1, n // 4)) AS edited_sha256 FROM x
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard_join": _OP1, "op2_chat_formatting": _OP2, "op4_quality_rules": _OP4}
+    return {"op1_ngram_jaccard_join": _OP1, "op2_chat_formatting": _OP2, "op4_quality_rules": _OP4, "edited_texts": _EDITED}
