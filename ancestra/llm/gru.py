@@ -12,7 +12,9 @@ import numpy as np
 
 EMBED, HIDDEN, WINDOW = 16, 24, 24
 #: Texts that are read side by side: as many as leave UPDATES steps of the optimiser, within these bounds.
-LEAST_LANES, MOST_LANES, UPDATES = 8, 256, 200
+LEAST_LANES, MOST_LANES, UPDATES = 8, 256, 100
+#: Symbols that training reads of a text with one state; the next ones go to another lane, so lanes are equally full.
+SPAN = 512
 
 
 @dataclass(frozen=True)
@@ -77,8 +79,10 @@ def lanes(lengths: np.ndarray, width: int) -> list[list[int]]:
     return out
 
 
-def streams(symbols: np.ndarray, starts: np.ndarray, width: int, end: int):
-    """Of texts symbols[starts[d]:starts[d + 1]]: inputs, targets, text numbers (-1: none) and whether a text begins, each [steps, lanes]."""
+def streams(symbols: np.ndarray, starts: np.ndarray, width: int, end: int, first: np.ndarray | None = None):
+    """Of texts symbols[starts[d]:starts[d + 1]]: inputs, targets, text numbers (-1: none) and whether a text begins, each [steps, lanes].
+
+    first: the symbol before each text, where it isn't `end`."""
     lengths = np.diff(starts)
     dealt = [x for x in lanes(lengths, min(width, max(1, len(lengths)))) if x]
     steps = max(int(lengths[x].sum()) for x in dealt)
@@ -95,7 +99,7 @@ def streams(symbols: np.ndarray, starts: np.ndarray, width: int, end: int):
     begin[:, 1:] = text[:, 1:] != text[:, :-1]
     source = np.full_like(target, end)
     source[:, 1:] = target[:, :-1]
-    source[begin] = end
+    source[begin] = end if first is None else np.where(text[begin] < 0, end, first[text[begin]])
     return (np.ascontiguousarray(x.T) for x in (source, target, text, begin))
 
 
@@ -216,12 +220,17 @@ def gradient(shape: Shape, flat: np.ndarray, h: np.ndarray, source: np.ndarray,
 
 
 def train(shape: Shape, flat: np.ndarray, symbols: np.ndarray, starts: np.ndarray, rate: float, passes: int = 1) -> np.ndarray:
-    """Parameters after truncated backpropagation through windows of WINDOW steps, the state carried on; Adam."""
+    """Parameters after truncated backpropagation through windows of WINDOW steps, the state carried on for SPAN symbols; Adam."""
     flat = flat.copy()
     if len(starts) < 2:
         return flat
     lanes_ = min(MOST_LANES, max(LEAST_LANES, len(symbols) // (WINDOW * UPDATES)))
-    source, target, text, begin = streams(symbols, starts, lanes_, shape.end)
+    parts = -(-np.diff(starts) // SPAN)
+    of = np.repeat(np.arange(len(parts)), parts)
+    k = np.arange(len(of)) - np.repeat(np.cumsum(parts) - parts, parts)
+    cuts = starts[of] + k * SPAN
+    first = np.where(k > 0, symbols[np.maximum(cuts - 1, 0)], shape.end)
+    source, target, text, begin = streams(symbols, np.append(cuts, starts[-1]), lanes_, shape.end, first)
     steps, n = source.shape
     m, v, round_ = np.zeros_like(flat), np.zeros_like(flat), 0
     for _ in range(passes):
