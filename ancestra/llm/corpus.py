@@ -315,13 +315,13 @@ class Corpus:
             out = [to_blob(*(y for c in found for y in split_column(c, np.arange(a, b)))) for a, b in zip([0, *ends], ends)]
             if summary is not None:
                 out.append(summary(columns[0], columns[1:]))
-                numbers.append(-1)
+                numbers.append(-1 - k[0].as_py())  # dealt out like chunks
             return pa.table({"step": pa.array([step] * len(out)), "chunk": pa.array(numbers, pa.int32()), "bucket": pa.array([k[0].as_py()] * len(out), pa.int32()), "blob": pa.array(out, pa.binary())})
 
         sent = self.each(send, "bucket int, chunk int, blob binary", prior)
         back = sent.groupBy("bucket").applyInArrow(reply, "step string, chunk int, bucket int, blob binary")
         back = settled(back, n, "chunk")
-        return back if summary is None else (back.where("chunk >= 0"), back.where("chunk < 0").select("blob"))
+        return back if summary is None else (back.where("chunk >= 0"), back.where("chunk < 0").select("bucket", "blob"))
 
 
 def together(*steps: DataFrame) -> DataFrame:

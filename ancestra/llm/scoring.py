@@ -126,36 +126,32 @@ def scores(docs: DataFrame, folds: int = 5, vocabulary: int = VOCABULARY, rounds
     def summary(keys, columns):
         """Of a bucket: its most frequent tokens (as many as the vocabulary has) and the end, tokens and kinds by open class."""
         found, counts, opens, _ = totals(keys, columns)
-        best = np.argsort(-counts, kind="stable")[:vocabulary]
+        best = np.lexsort((found.view(np.int64), -counts))[:vocabulary]
         best = np.union1d(best, np.flatnonzero(found == _END))
         seen = counts > 0
         return C.to_blob(found[best].view(np.int64), counts[best], opens[best].astype(np.int32), np.bincount(opens, counts, OPEN).astype(np.int64), np.bincount(opens[seen], minlength=OPEN).astype(np.int64))
 
     back, summaries = source.exchange("counts", emit, answer, summary=summary)
 
-    def tokens_of(batches):
-        for b in batches:
-            for x in b.column(0).to_pylist():
-                keys, counts, opens, _, _ = C.from_blob(x)
-                yield pa.record_batch({"key": keys, "n": counts, "open": opens})
+    def merged(k, t):
+        """One summary of several: buckets share no token."""
+        parts = [C.from_blob(x) for x in t.column("blob").to_pylist()]
+        keys, counts, opens = (np.concatenate([p[i] for p in parts]) for i in range(3))
+        best = np.lexsort((keys, -counts, keys != end))[:vocabulary]
+        blob = C.to_blob(keys[best], counts[best], opens[best], *(np.sum([p[i] for p in parts], 0) for i in (3, 4)))
+        return pa.table({"part": pa.array([0], pa.int32()), "blob": pa.array([blob], pa.binary())})
 
-    def classes_of(batches):
-        for b in batches:
-            for x in b.column(0).to_pylist():
-                _, _, _, in_class, kinds = C.from_blob(x)
-                yield pa.record_batch({"open": np.arange(OPEN, dtype=np.int32), "n": in_class, "kinds": kinds})
-
-    # the vocabulary's rows, and one for each open class: what reaches the driver doesn't grow with the input
+    # in two levels to one row: what reaches the driver doesn't grow with the input
     end = int(np.array([_END]).view(np.int64)[0])
-    top = summaries.mapInArrow(tokens_of, "key long, n long, open int").orderBy((F.col("key") == end).desc(), F.desc("n"), "key").limit(vocabulary).collect()
+    groups = max(1, round(n**0.5))
+    level = summaries.select((F.col("bucket") % groups).cast("int").alias("part"), "blob").groupBy("part").applyInArrow(merged, "part int, blob binary")
+    top = level.groupBy("part").applyInArrow(merged, "part int, blob binary").collect()
     if not top:
         return docs.sparkSession.createDataFrame([], _SCHEMA)
-    top.sort(key=lambda r: (-r.n, r.key))
-    top = [r for r in top if r.n > 0 or r.key == end]
-    keys, counts, opens = np.array([r.key for r in top], np.int64).view(U), np.array([r.n for r in top], np.int64), np.array([r.open for r in top])
-    in_class, kinds = np.zeros(OPEN, np.int64), np.zeros(OPEN, np.int64)
-    for r in summaries.mapInArrow(classes_of, "open int, n long, kinds long").groupBy("open").agg(F.sum("n").alias("n"), F.sum("kinds").alias("kinds")).collect():
-        in_class[r.open], kinds[r.open] = r.n, r.kinds
+    keys, counts, opens, in_class, kinds = (x.copy() for x in C.from_blob(top[0].blob))
+    best = np.lexsort((keys, -counts))
+    best = best[(counts[best] > 0) | (keys[best] == end)]
+    keys, counts, opens = keys[best].view(U), counts[best], opens[best]
     total, distinct = int(in_class.sum()), int(kinds.sum())
     np.subtract.at(in_class, opens, counts)
     np.subtract.at(kinds, opens, (counts > 0).astype(np.int64))
@@ -176,7 +172,7 @@ def scores(docs: DataFrame, folds: int = 5, vocabulary: int = VOCABULARY, rounds
         return pa.table({"chunk": pa.array([number], pa.int32()), "blob": pa.array([blob], pa.binary())})
 
     texts = C.Corpus(C.settled(source.each(read, "chunk int, blob binary", back), n, "chunk"), n, _Read.of)
-    slices, groups = 16, max(1, round(n**0.5))
+    slices = 16
     schema = "slice int, part int, weight long, blob binary"
     table = lambda slice_, part, weight, blobs: pa.table({"slice": pa.array(slice_, pa.int32()), "part": pa.array(part, pa.int32()), "weight": pa.array(weight, pa.int64()), "blob": pa.array(blobs, pa.binary())})
 
