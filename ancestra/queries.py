@@ -354,7 +354,7 @@ def null_bin_matched(spark, d):
 
 
 @query(lineage("SELECT draw, arg_min(m, m) AS m, arg_min(removed, m) AS removed FROM (SELECT s.draw, s.m, s.n, coalesce((SELECT max(c.removed) FROM curve c WHERE c.draw = s.draw AND c.m <= s.m), 0)::BIGINT AS removed FROM steps s), target WHERE removed >= 0.95 * t OR m >= n GROUP BY 1", _RANKED + """, sums AS (SELECT draw, rank, sum(closure_size) OVER (PARTITION BY draw ORDER BY rank) AS s FROM ranked JOIN cand USING (node)),
-start AS (SELECT draw, least(count(*) FILTER (s < t) + 1, max(rank)) AS m, max(rank) AS n FROM sums, target GROUP BY draw, t), steps(draw, m, n) AS (SELECT draw, m, n FROM start UNION ALL SELECT draw, least(n, floor(m * 1.15)::BIGINT + 1), n FROM steps WHERE m < n)"""))
+start AS (SELECT draw, least(count(*) FILTER (s < t) + 1, max(rank)) AS m, max(rank) AS n FROM sums, target GROUP BY draw, t), steps(draw, m, n) AS (SELECT draw, m, n FROM start UNION ALL SELECT draw, least(n, floor(m * 1.15::DOUBLE)::BIGINT + 1), n FROM steps WHERE m < n)"""))
 def null_growing_prefix(spark, d):
     c = _cand(spark, d)
     sizes = scenarios.ranked(c, "matched", _DRAWS).join(c.select("node", F.col("closure_size").alias("size")), "node").select("draw", "rank", "size")
