@@ -308,13 +308,30 @@ curve AS (SELECT draw, m, (sum(n) OVER (PARTITION BY draw ORDER BY m))::BIGINT A
 target AS (SELECT count(DISTINCT de) AS t FROM (SELECT node FROM cand ORDER BY descendants DESC, node LIMIT 10) s JOIN clo ON anc = s.node JOIN nodes n ON n.node = de WHERE n.is_provider)"""
 
 
+def _parents(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The closure of parents, and what they stand for."""
+    closed = once(spark, (d, "parents"), lambda: graph.parent_closure(fixtures.edges(spark, d)))
+    n, e = _ne(spark, d)
+    return closed, *(once(spark, (d, "counted", k), lambda k=k: graph.counted_by_parents(e, n)[k]) for k in (0, 1))
+
+
+def _sized(spark, d) -> DataFrame:
+    """The candidates with their descendants alone: no closure of all nodes is made for them."""
+    n = fixtures.nodes(spark, d).where("is_provider").select("node")
+    return once(spark, (d, "sized"), lambda: graph.descendant_counts(*_parents(spark, d)).join(n, "node", "left_semi"))
+
+
 def _curve(spark, d):
-    return once(spark, (d, "curve"), lambda: scenarios.curve(scenarios.ranked(_cand(spark, d), "matched", _DRAWS), _closed(spark, d), fixtures.nodes(spark, d)))
+    n, e = _ne(spark, d)
+    return once(spark, (d, "curve"), lambda: scenarios.drawn_curve(_sized(spark, d), e, n, *_parents(spark, d), "matched", _DRAWS))
 
 
 def _target(spark, d) -> int:
-    top = _cand(spark, d).orderBy(F.desc("descendants"), "node").limit(10).select(F.lit("t").alias("scenario_id"), "node")
-    return graph.removed_legal(_closed(spark, d), top).join(fixtures.nodes(spark, d).where("is_provider"), "node", "left_semi").count()
+    n, e = _ne(spark, d)
+    top = _sized(spark, d).orderBy(F.desc("descendants"), "node").limit(10).select("node")
+    gone = _parents(spark, d)[0].join(top, F.col("anc") == F.col("node"), "left_semi").select(F.col("de").alias("node")).distinct()
+    below = e.join(gone, F.col("p") == F.col("node"), "left_semi").select(F.col("ch").alias("node"))
+    return n.where("is_provider").join(gone.unionByName(below), "node", "left_semi").count()
 
 
 @query(lineage(f"SELECT draw, node FROM (SELECT d.draw, node, row_number() OVER (PARTITION BY draw ORDER BY md5('uniform:10:' || draw || ':' || node), node) AS rn FROM cand, (SELECT unnest(range({_DRAWS})) AS draw) d) WHERE rn <= 10", _STATS))
@@ -356,8 +373,8 @@ def null_bin_matched(spark, d):
 @query(lineage("SELECT draw, arg_min(m, m) AS m, arg_min(removed, m) AS removed FROM (SELECT s.draw, s.m, s.n, coalesce((SELECT max(c.removed) FROM curve c WHERE c.draw = s.draw AND c.m <= s.m), 0)::BIGINT AS removed FROM steps s), target WHERE removed >= 0.95 * t OR m >= n GROUP BY 1", _RANKED + """, sums AS (SELECT draw, rank, sum(closure_size) OVER (PARTITION BY draw ORDER BY rank) AS s FROM ranked JOIN cand USING (node)),
 start AS (SELECT draw, least(count(*) FILTER (s < t) + 1, max(rank)) AS m, max(rank) AS n FROM sums, target GROUP BY draw, t), steps(draw, m, n) AS (SELECT draw, m, n FROM start UNION ALL SELECT draw, least(n, floor(m * 1.15::DOUBLE)::BIGINT + 1), n FROM steps WHERE m < n)"""))
 def null_growing_prefix(spark, d):
-    c = _cand(spark, d)
-    sizes = scenarios.ranked(c, "matched", _DRAWS).join(c.select("node", F.col("closure_size").alias("size")), "node").select("draw", "rank", "size")
+    c = _sized(spark, d).select("node", (F.col("descendants") + 1).alias("size"))
+    sizes = scenarios.ranked(c, "matched", _DRAWS, "size").select("draw", "rank", "size")
     return scenarios.growing_prefix(_curve(spark, d), sizes, _target(spark, d))
 
 

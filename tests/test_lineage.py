@@ -455,3 +455,30 @@ def test_settle_forgets_estimates_that_joins_have_multiplied(spark):
         rows = settle(rows.join(rows.select("id", F.col("v").alias("w")), "id").select("id", ((F.col("v") + F.col("w")) % 3).alias("v")))
     assert rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length() < 500
     assert sorted((r.id, r.v) for r in rows.collect()) == [(k, k % 3 * 2**12 % 3) for k in range(9)]
+
+
+@pytest.mark.parametrize("digits", [15, 1])
+def test_drawn_curve_is_the_curve_of_ranked(spark, monkeypatch, digits):
+    """Also where order keys coincide (one digit), with shared leaves, more draws than a block has, loops and unknown nodes."""
+    pairs = [(f"n{k // 2:02d}", f"n{k:02d}", "merge") for k in range(2, 60)] + [(f"n{k // 3:02d}", f"n{k:02d}", "merge") for k in range(9, 60, 4)]
+    pairs += [("n05", "n05", "merge"), ("n40", "n02", "mirror"), ("n07", "gone", "merge"), ("lost", "n33", "merge")]
+    n, e = _nodes(spark, [(f"n{k:02d}", "tg", "en", "mit", k) for k in range(60)], off={"n03", "n04", "n45", "n58"}), _edges(spark, pairs)
+    closed = graph.closure(e)
+    cand = scenarios.candidates(n, e, closed)
+    parts = graph.parent_closure(e), *graph.counted_by_parents(e, n)
+    told = {r.node: r.descendants for r in graph.descendant_counts(*parts).collect()}
+    assert {r.node: r.descendants for r in cand.collect()}.items() <= told.items()
+    monkeypatch.setattr(scenarios, "DIGITS", digits)
+    monkeypatch.setattr(scenarios, "BLOCK", 2)
+    want = {tuple(r) for r in scenarios.curve(scenarios.ranked(cand, "x", 3), closed, n).select("draw", "m", "removed").collect()}
+    assert {tuple(r) for r in scenarios.drawn_curve(cand, e, n, *parts, "x", 3).select("draw", "m", "removed").collect()} == want
+
+
+@pytest.mark.parametrize("name", ["null_matched_90", "null_matched_95", "null_matched_99", "null_nearest", "null_growing_prefix"])
+def test_nulls_make_no_closure_of_all_nodes(spark, monkeypatch, name):
+    def never(*_):
+        raise AssertionError("closure of all nodes")
+
+    monkeypatch.setattr(queries, "_closed", never)
+    monkeypatch.setattr(queries, "_cand", never)
+    assert queries.QUERIES[name](spark, "/root/testdata/sf0.001").count() == 20
