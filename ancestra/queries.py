@@ -374,8 +374,8 @@ def null_bin_matched(spark, d):
 start AS (SELECT draw, least(count(*) FILTER (s < t) + 1, max(rank)) AS m, max(rank) AS n FROM sums, target GROUP BY draw, t), steps(draw, m, n) AS (SELECT draw, m, n FROM start UNION ALL SELECT draw, least(n, floor(m * 1.15::DOUBLE)::BIGINT + 1), n FROM steps WHERE m < n)"""))
 def null_growing_prefix(spark, d):
     c = _sized(spark, d).select("node", (F.col("descendants") + 1).alias("size"))
-    sizes = scenarios.ranked(c, "matched", _DRAWS, "size").select("draw", "rank", "size")
-    return scenarios.growing_prefix(_curve(spark, d), sizes, _target(spark, d))
+    target = _target(spark, d)
+    return scenarios.growing_prefix(_curve(spark, d), None, target, start=scenarios.growing_start(c, target, "matched", _DRAWS))
 
 
 @query()

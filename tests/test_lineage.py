@@ -482,3 +482,12 @@ def test_nulls_make_no_closure_of_all_nodes(spark, monkeypatch, name):
     monkeypatch.setattr(queries, "_closed", never)
     monkeypatch.setattr(queries, "_cand", never)
     assert queries.QUERIES[name](spark, "/root/testdata/sf0.001").count() == 20
+
+
+@pytest.mark.parametrize("target", [0, 1, 57, 4949, 4950, 5000])
+def test_growing_start_is_where_ranked_sizes_add_up(spark, monkeypatch, target):
+    cand = spark.range(100).select(F.col("id").alias("node"), F.col("id").alias("size"))
+    rows = scenarios.ranked(cand, "x", 3, "size").withColumn("sum", F.sum("size").over(scenarios.W.partitionBy("draw").orderBy("rank")))
+    want = {tuple(r) for r in rows.groupBy("draw").agg((F.count_if(F.col("sum") < target) + 1).alias("m"), F.max("rank").alias("all")).collect()}
+    monkeypatch.setattr(scenarios, "ranked", None)
+    assert {tuple(r) for r in scenarios.growing_start(cand, target, "x", 3).collect()} == want
