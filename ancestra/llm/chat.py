@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ancestra.llm.corpus import settled
+from ancestra.plans.materialise import bounded
 
 #: Stands in front of the digits of a number while JSON is parsed.
 _MARK = "\ue000"
@@ -116,8 +117,11 @@ def linked(messages: DataFrame, schemas: Schemas) -> DataFrame:
     e = events(messages, schemas)
     key = ["conv_id", "call_id"]
     same = lambda a, b: a["conv_id"].eqNullSafe(b["conv_id"]) & (a["call_id"] == b["call_id"])
-    calls = settled(e.where("kind = 'call' and call_id is not null").groupBy(*key).agg(F.min(F.struct("turn", "step", "waits")).alias("c")).select(*key, F.col("c.turn").alias("turn"), F.col("c.waits").alias("waits")))
-    results = e.where("kind = 'result'").groupBy(*key).agg(F.min("turn").alias("result_turn"))
+    # texts are parsed once for all that the order needs
+    first = F.min(F.when(F.col("kind") == "call", F.struct("turn", "step", "waits"))).alias("c")
+    tied = settled(e.where("kind <> 'message' and call_id is not null").groupBy(*key).agg(first, F.min(F.when(F.col("kind") == "result", F.col("turn"))).alias("result_turn"), F.count_if(F.col("kind") == "result").alias("results")))
+    calls = tied.where("c is not null").select(*key, F.col("c.turn").alias("turn"), F.col("c.waits").alias("waits"))
+    results = tied.where("results > 0").select(*key, "result_turn")
     order = _ordered(calls, results)
     r = order.select(F.col("conv_id").alias("c_conv"), F.col("call_id").alias("c_call"), "call_turn", "call_level", "has_result")
     plain = e.where("call_id is null").select("*", F.when(F.col("kind") == "call", F.lit(False)).alias("linked"), F.col("turn").alias("order_turn"), F.lit(0).alias("level"))
@@ -153,9 +157,9 @@ def _ordered(calls: DataFrame, results: DataFrame) -> DataFrame:
         p = placed.select(F.col("conv_id").alias("p_conv"), F.col("call_id").alias("p_call"), F.greatest("call_turn", "result_turn").alias("p_turn"), "call_level")
         met = wait.join(p, F.col("conv_id").eqNullSafe(F.col("p_conv")) & (F.col("on") == F.col("p_call")))
         met = met.groupBy("conv_id", "call_id").agg(F.count("*").alias("met"), F.max("p_turn").alias("after_turn"), F.max("call_level").alias("deep")).select(F.col("conv_id").alias("m_conv"), F.col("call_id").alias("m_call"), "met", "after_turn", "deep")
-        rest = rest.join(met, F.col("conv_id").eqNullSafe(F.col("m_conv")) & (F.col("call_id") == F.col("m_call")), "left")
+        rest = settled(bounded(rest.join(met, F.col("conv_id").eqNullSafe(F.col("m_conv")) & (F.col("call_id") == F.col("m_call")), "left")))
         now = rest.where("met = n").select("conv_id", "call_id", "result_turn", F.greatest("turn", "after_turn").alias("call_turn"), (F.col("deep") + 2).alias("call_level"))
-        placed, rest = settled(placed.unionByName(now)), settled(rest.where("met is null or met < n").select("conv_id", "call_id", "turn", "result_turn", "n"))
+        placed, rest = settled(bounded(placed.unionByName(now))), rest.where("met is null or met < n").select("conv_id", "call_id", "turn", "result_turn", "n")
         was, left = left, rest.count()
         if left == was:
             placed = placed.unionByName(rest.select("conv_id", "call_id", "result_turn", F.col("turn").alias("call_turn"), F.lit(-1).alias("call_level")))

@@ -321,3 +321,22 @@ def test_chat_links_orders_and_validates(spark):
     assert json.loads(by[1, "call", "a"].json) == {"arguments": {"limit": 3, "query": "x"}, "id": "a", "name": "search", "type": "tool_call"}
     assert by[1, "call", "a"].json.startswith('{"arguments":{"limit":3,"query":"x"},')
     assert sum(r.kind == "message" for r in got) == 6 and chat.linked(m.limit(0), {}).count() == 0
+
+
+def test_chat_order_parses_texts_once(spark, monkeypatch):
+    """Of the tables settled for the order only the first comes from the texts, and long chains of waits keep estimates small."""
+    from ancestra.llm import chat
+
+    plans, kept = [], chat.settled
+
+    def settled(df):
+        plan = df._jdf.queryExecution().optimizedPlan()
+        plans.append(("parsejson" in plan.toString().lower().replace("_", ""), plan.stats().sizeInBytes().bit_length()))
+        return kept(df)
+
+    monkeypatch.setattr(chat, "settled", settled)
+    calls = [f'{{"id":"c{k}","name":"f","arguments":{{}},"after":["c{k - 1}"]}}' for k in range(12)]
+    rows = [(1, 0, "assistant", '{"content":"x","tool_calls":[' + ",".join(calls) + "]}"), (1, 1, "tool", '{"tool_call_id":"c3","content":"y"}')]
+    got = chat.linked(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), {"f": {}}).collect()
+    assert {r.call_id: r.level for r in got if r.kind == "call"} == {f"c{k}": 2 * k for k in range(12)}
+    assert sum(parsed for parsed, _ in plans) == 1 and max(bits for _, bits in plans) < 1000
